@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidepool.llm.bpe import bpe_encode
 from tidepool.llm.common import table
+from tidepool.llm.idstore import read_ids, write_ids
+from tidepool.llm.phrases import decontaminate, items_digest
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,6 +18,17 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_encode(docs, public_tokenizers.path("byte_bpe_50k.json"), digests=True, blobs=False)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_bpe": op1_bpe}
+def op2_idstore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    uri = write_ids(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+    return read_ids(spark, uri, docs)
+
+
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", items_digest("items").alias("items_sha256"), "contaminated")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_bpe": op1_bpe, "op2_idstore": op2_idstore, "op3_decontaminate": op3_decontaminate}
 
 ORACLE_SQL: dict[str, str] = {}
