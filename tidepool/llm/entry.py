@@ -7,9 +7,11 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from tidepool.llm import langid, rules
 from tidepool.llm.bpe import bpe_encode
-from tidepool.llm.common import table
+from tidepool.llm.common import remainder, table
 from tidepool.llm.idstore import read_ids, write_ids
+from tidepool.llm.neardup import near_duplicates
 from tidepool.llm.phrases import decontaminate, items_digest
 
 
@@ -29,6 +31,30 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", items_digest("items").alias("items_sha256"), "contaminated")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_bpe": op1_bpe, "op2_idstore": op2_idstore, "op3_decontaminate": op3_decontaminate}
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out, at = rules.judge(docs, rules.fit(docs, table(spark, sf_dir, "labels")))
+    return out.select("doc_id", *(f"`{at}`.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")))
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = remainder("doc_id", 5) == 0
+    out, at = langid.identify(docs.select("doc_id", "text"), langid.fit(docs.where(~held_out)))
+    return out.select("doc_id", held_out.alias("held_out"), f"`{at}`.lang_pred", f"`{at}`.score")
+
+
+def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), n=4)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_bpe": op1_bpe,
+    "op2_idstore": op2_idstore,
+    "op3_decontaminate": op3_decontaminate,
+    "op6_quality_rules": op6_quality_rules,
+    "op8_language_id": op8_language_id,
+    "op10_near_duplicates": op10_near_duplicates,
+}
 
 ORACLE_SQL: dict[str, str] = {}
