@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidepool.llm import langid, rules
+from tidepool.llm import ctw, langid, rules
 from tidepool.llm.bpe import bpe_encode
 from tidepool.llm.common import remainder, table
 from tidepool.llm.idstore import read_ids, write_ids
@@ -44,6 +44,12 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out.alias("held_out"), f"`{at}`.lang_pred", f"`{at}`.score")
 
 
+def op9_ctw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = remainder("doc_id", 7) == 2
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", (~held_out).alias("train"))
+    return ctw.score(docs, "train").select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")
+
+
 def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), n=4)
 
@@ -54,6 +60,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_decontaminate": op3_decontaminate,
     "op6_quality_rules": op6_quality_rules,
     "op8_language_id": op8_language_id,
+    "op9_ctw": op9_ctw,
     "op10_near_duplicates": op10_near_duplicates,
 }
 
