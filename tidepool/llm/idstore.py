@@ -15,18 +15,19 @@ import io
 import json
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
-import regex
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from tidepool.llm.bpe import byte_alphabet
 from tidepool.llm.common import new_path, slices, stored, strings
 
 GAMMA, LEVELS, MAGIC = 2.0, 40, b"TPMPH001"
@@ -177,61 +178,71 @@ class WordEncoder:
     """The tokenizers library's ids of whole texts, packed, with a bounded memo.
 
     Its normalizer and pre-tokenizer work between white space, so the ids of a text are those of its
-    blank-separated pieces in order. New pieces go to the library together, and the vocabulary's mark of a
-    word's end shows where each piece's ids end; where that can't be told, a piece is encoded alone.
+    blank-separated pieces in order. A plain word goes to the library's model, any other piece to the
+    whole library.
     """
 
-    #: Pieces in each of the memo's two generations.
-    LIMIT = 400_000
+    #: Pieces, and words, in each of the two generations of their memos.
+    PIECES, WORDS = 400_000, 500_000
 
     def __init__(self, data: bytes, dtype: str, end_id: int):
         self.lib = Tokenizer.from_str(data.decode())
         self.lib.no_truncation()
         self.lib.no_padding()
-        self.dtype, self.size = np.dtype(dtype), np.dtype(dtype).itemsize
+        self.tokenize = self.lib.model.tokenize
+        self.dtype = np.dtype(dtype)
+        self.size, self.code = self.dtype.itemsize, {2: "H", 4: "I"}[self.dtype.itemsize]
         self.end = np.array([end_id], dtype).tobytes()
-        suffix = json.loads(data)["model"].get("end_of_word_suffix") or ""
-        vocab = self.lib.get_vocab(with_added_tokens=False)
-        self.ends = np.zeros(max(vocab.values()) + 1, bool)
-        self.ends[[i for t, i in vocab.items() if suffix and t.endswith(suffix)]] = True
         self.memo: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
+        self.old_words: dict[str, bytes] = {}
+        self.signs: dict[str, bytes] = {"": b""}
+        # The model sees bytes as characters; Latin letters beyond ASCII are two of them.
+        alphabet = byte_alphabet()
+        self.as_bytes = {c: "".join(alphabet[b] for b in chr(c).encode()) for c in range(0x80, 0x180)}
 
     def _alone(self, text: str) -> bytes:
         return np.array(self.lib.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
+    def _sign(self, text: str) -> bytes:
+        if (got := self.signs.get(text)) is None:
+            if len(self.signs) > 50_000:
+                self.signs = {"": b""}
+            got = self.signs[text] = self._alone(text)
+        return got
+
+    def _word(self, word: str) -> bytes:
+        """A lower-case word goes to the library's model straight away."""
+        if (got := self.words.get(word)) is None:
+            if (got := self.old_words.get(word)) is None:
+                got = array(self.code, [t.id for t in self.tokenize(word if word.isascii() else word.translate(self.as_bytes))]).tobytes()
+            if len(self.words) >= self.WORDS:
+                self.words, self.old_words = {}, self.words
+            self.words[word] = got
+        return got
+
     def _learn(self, pieces: set[str]) -> None:
-        """Pieces of one word, or one word with signs before or behind it, are told apart by the ends."""
-        memo, words, rest = self.memo, set(), []
+        """A word of Latin letters and the ASCII signs on either side of it are apart for the pre-tokenizer
+        too; other pieces go to the library whole."""
+        memo = self.memo
         for p in pieces:
-            if p.isalpha() and max(p) < "\u0180":
-                words.add(p)
-            elif (m := _EDGED.fullmatch(p)) and len(p) < 64:
-                rest.append((p, m.groups()))
-                words.update(filter(None, m.groups()))
+            w = p.strip(_SIGNS)
+            if w.isalpha() and len(w) < 64 and (w.isascii() or max(w) < "\u0180") and (low := w.lower()).isalpha():
+                if len(w) == len(p):
+                    memo[p] = self._word(low)
+                else:
+                    i = p.find(w)
+                    memo[p] = self._sign(p[:i]) + self._word(low) + self._sign(p[i + len(w) :])
             else:
                 memo[p] = self._alone(p)
-        self._learn_words([w for w in words if w not in memo])
-        for p, (a, b, c) in rest:
-            memo[p] = (memo[a] if a else b"") + memo[b] + (memo[c] if c else b"")
-
-    def _learn_words(self, words: list[str]) -> None:
-        for i in range(0, len(words), 2000):
-            some = words[i : i + 2000]
-            ids = np.array(self.lib.encode(" ".join(some), add_special_tokens=False).ids, np.int64)
-            stops = np.flatnonzero(self.ends[ids]) + 1
-            if len(stops) == len(some):
-                packed, at = ids.astype(self.dtype).tobytes(), [0, *(stops * self.size).tolist()]
-                self.memo.update((w, packed[a:b]) for w, a, b in zip(some, at, at[1:]))
-            else:
-                self.memo.update((w, self._alone(w)) for w in some)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Packed ids of each text and the end id. A line's end is white space to the normalizer."""
         split = [t.replace("\n", " ").split(" ") for t in texts]
         new = set().union(*split).difference(self.memo)
         if new:
-            if len(self.memo) + len(new) > self.LIMIT:
+            if len(self.memo) + len(new) > self.PIECES:
                 self.memo, self.old = {}, self.memo
                 new = set().union(*split)
             known = {p: v for p in new if (v := self.old.get(p)) is not None}
@@ -241,8 +252,9 @@ class WordEncoder:
         return [b"".join(map(get, s)) + self.end for s in split]
 
 
-#: A word of Latin letters with ASCII signs, but no apostrophe or angle bracket, on either side.
-_EDGED = regex.compile(r"""([!-&(-/:;=?@\[-`{|}~]*)([a-zA-Z\xc0-\xd6\xd8-\xf6\xf8-\u012f]+)([!-&(-/:;=?@\[-`{|}~]*)""")
+# Fixed value: ASCII signs, without the apostrophe and the angle brackets, which have a meaning of their own.
+_SIGNS = '!"#$%&()*+,-./:;=?@[\\]^_`{|}~'
+
 _ENCODERS: dict[int, WordEncoder] = {}
 
 
