@@ -40,7 +40,7 @@ def new_path(spark: SparkSession, label: str) -> str:
 def stored(df: DataFrame, label: str) -> DataFrame:
     """Cut lineage with a table in the shared folder: lost executors cost no recomputation of what lies before."""
     path = new_path(df.sparkSession, label)
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", 32 << 20).parquet(path)  # small row groups: writers hold one
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

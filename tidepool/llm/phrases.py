@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from tidepool.llm.common import drop_stored, raw, slices, stored
 
 #: Bytes of text in a segment, and of query text that is broadcast at a time.
-SEGMENT_BYTES, BLOCK_BYTES = 8 << 20, 8 << 20
+SEGMENT_BYTES, BLOCK_BYTES = 2 << 20, 8 << 20
 
 #: Lower-cases A-Z and blanks what isn't a digit, a letter or beyond ASCII.
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
