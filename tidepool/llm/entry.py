@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidepool.llm import ctw, langid, rules
+from tidepool.llm import ctw, langid, rules, toxic
 from tidepool.llm.bpe import bpe_encode
 from tidepool.llm.chat import chat_digests, format_chats
 from tidepool.llm.common import remainder, table
@@ -33,6 +33,13 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", items_digest("items").alias("items_sha256"), "contaminated")
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = remainder("doc_id", 3) == 1
+    net = toxic.fit(docs.where(~held_out), table(spark, sf_dir, "labels").where(~held_out))
+    return toxic.toxicity(docs, net).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out, at = rules.judge(docs, rules.fit(docs, table(spark, sf_dir, "labels")))
@@ -67,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_idstore": op2_idstore,
     "op3_decontaminate": op3_decontaminate,
+    "op4_toxicity": op4_toxicity,
     "op6_quality_rules": op6_quality_rules,
     "op7_chat": op7_chat,
     "op8_language_id": op8_language_id,

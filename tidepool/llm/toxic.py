@@ -22,6 +22,8 @@ WINDOW, STRIDE = 24, 12
 HIDDEN, WORD_DIM, CHAR_DIM, ATTENTION = 8, 8, 8, 8
 GRAMS = (3, 4, 5)
 _SLOTS = 1 << 20
+#: Texts that an item's evidence is drawn towards none by, and the share of the step that vectors take.
+PRIOR, SLOW = 20, 0.1
 
 
 def gram_codes(vocabulary: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -256,11 +258,11 @@ def _evidence(y: np.ndarray, doc: np.ndarray, item: np.ndarray, n: int) -> np.nd
     d, i = pairs // n, pairs % n
     one, all_ = np.bincount(i, y[d], n), np.bincount(i, minlength=n)
     rate = max(y.mean(), 1e-6)
-    p = np.clip((one + 5 * rate) / (all_ + 5), 1e-6, 1 - 1e-6)
+    p = np.clip((one + PRIOR * rate) / (all_ + PRIOR), 1e-6, 1 - 1e-6)
     return np.clip(np.log(p / (1 - p)) - np.log(rate / max(1 - rate, 1e-6)), -2, 4)
 
 
-def train(texts: list[bytes], labels: list[int], rounds: int = 10, batch: int = 256, rate: float = 0.08, most_words: int = 20_000, most_grams: int = 60_000, seed: int = 5) -> Net:
+def train(texts: list[bytes], labels: list[int], rounds: int = 10, steps: int = 40, rate: float = 0.08, most_words: int = 20_000, most_grams: int = 60_000, seed: int = 5) -> Net:
     """Fit on whole texts by Adagrad. The first coordinate of every word and n-gram starts at its evidence."""
     rng, y = np.random.default_rng(seed), np.array(labels, float)
     vocabulary, ids, lens = numbered(texts)
@@ -307,7 +309,11 @@ def train(texts: list[bytes], labels: list[int], rounds: int = 10, batch: int =
         picked = order[place < 2]  # the two worst windows of every text, one of them for texts with label 1
         picked = picked[(y[own[picked]] == 0) | (place[place < 2] == 0)]
         picked = np.r_[picked, rng.choice(np.flatnonzero(y[own] == 0), min(len(picked) // 2, int((y[own] == 0).sum())), replace=False)]
-        rng.shuffle(picked)
+        # As many windows of either label, in `steps` steps at least.
+        ones, zeros = picked[y[own[picked]] == 1], picked[y[own[picked]] == 0]
+        picked = np.r_[zeros, np.resize(ones, max(len(ones), len(zeros) // 2))]
+        batch = min(256, max(32, len(picked) // steps))
+        picked = np.concatenate([rng.permutation(picked) for _ in range(max(1, batch * steps // len(picked)))])
         for i in range(0, len(picked), batch):
             rows = picked[i : i + batch]
             used = np.unique(at[rows])
@@ -316,11 +322,11 @@ def train(texts: list[bytes], labels: list[int], rounds: int = 10, batch: int =
             local[used] = np.arange(len(used))
             for k, g in net.gradient(local[at[rows]], y[own[rows]], x.of(used)).items():
                 past[k] += g * g
-                net.p[k] -= np.float32(rate) * g / np.sqrt(past[k])
+                net.p[k] -= np.float32(rate * (SLOW if k in ("word", "char") else 1)) * g / np.sqrt(past[k])
     return net
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most_texts: int = 4_000, most_chars: int = 20_000) -> Net:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most_texts: int = 6_000, most_chars: int = 20_000) -> Net:
     """Train on at most most_texts labelled texts, half of them (where there are as many) with label 1,
     those with the smallest hashes of their ids; labelled texts of over most_chars characters are left out
     of training, as are null labels and texts."""
