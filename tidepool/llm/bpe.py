@@ -320,11 +320,15 @@ def decoded_parts(merges: Merges, packed: bytes, block: int = BLOCK) -> Iterator
     yield machine.close()
 
 
-def bpe_encode(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", digests: bool = False, blobs: bool = True) -> DataFrame:
+#: The columns that bpe_encode can give besides the number of tokens.
+COLUMNS = {"ids": pa.binary(), "decoded": pa.string(), "ids_sha256": pa.string(), "decoded_sha256": pa.string()}
+
+
+def bpe_encode(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", columns: tuple[str, ...] = ("ids", "decoded")) -> DataFrame:
     """Encode every whole text and decode it again.
 
-    Returns id_col, n_tokens and, with `blobs`, ids (packed little-endian 32-bit) and decoded, and with
-    `digests` their SHA-256. vocabulary: path of a byte-level tokenizers JSON file, read on the driver and
+    Returns id_col, n_tokens and the wished columns: ids (packed little-endian 32-bit), decoded, and the
+    SHA-256 of either. vocabulary: path of a byte-level tokenizers JSON file, read on the driver and
     broadcast (a file over 64 MB is refused). Null and empty texts have no tokens; repeated rows each
     give a row; other columns of df are ignored, whatever their names; an empty table gives an empty one.
     """
@@ -336,20 +340,19 @@ def bpe_encode(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col:
 
     def kernel(part: pa.RecordBatch) -> dict:
         encoder = encoder_of(shared.value)
-        n, ids, texts, ids_sha, text_sha = [], [], [], [], []
+        out: dict[str, list] = {c: [] for c in ("n_tokens", *columns)}
         for text in strings(part, "text"):
             packed = encoder.encode(text)
-            n.append(len(packed) // 4)
-            if blobs:
-                ids.append(packed)
-                texts.append("".join(decoded_parts(encoder.merges, packed)))
-            if digests:
-                h = hashlib.sha256()
-                for x in [texts[-1]] if blobs else decoded_parts(encoder.merges, packed):
-                    h.update(x.encode())
-                ids_sha.append(hashlib.sha256(packed).hexdigest())
-                text_sha.append(h.hexdigest())
-        return {"n_tokens": pa.array(n, pa.int64()), "ids": pa.array(ids, pa.binary()), "decoded": pa.array(texts, pa.string()), "ids_sha256": pa.array(ids_sha, pa.string()), "decoded_sha256": pa.array(text_sha, pa.string())}
-
-    schema = "n_tokens long" + ", ids binary, decoded string" * blobs + ", ids_sha256 string, decoded_sha256 string" * digests
+            out["n_tokens"].append(len(packed) // 4)
+            digest, kept = hashlib.sha256(), []
+            if "decoded" in out or "decoded_sha256" in out:
+                for x in decoded_parts(encoder.merges, packed):
+                    digest.update(x.encode())
+                    if "decoded" in out:
+                        kept.append(x)
+            for c in columns:
+                out[c].append({"ids": lambda: packed, "decoded": lambda: "".join(kept), "ids_sha256": lambda: hashlib.sha256(packed).hexdigest(), "decoded_sha256": digest.hexdigest}[c]())
+        return {"n_tokens": pa.array(out["n_tokens"], pa.int64())} | {c: pa.array(out[c], COLUMNS[c]) for c in columns}
+
+    schema = ", ".join(["n_tokens long", *(f"{c} {'binary' if c == 'ids' else 'string'}" for c in columns)])
     return map_texts(df, id_col, text_col, schema, kernel)

@@ -13,13 +13,15 @@ from tidepool.llm.bpe import bpe_encode
 from tidepool.llm.chat import chat_digests, format_chats
 from tidepool.llm.common import remainder, table
 from tidepool.llm.idstore import read_ids, write_ids
+from tidepool.llm.licenses import oracle as license_oracle
+from tidepool.llm.licenses import scan_licenses
 from tidepool.llm.neardup import near_duplicates
 from tidepool.llm.phrases import decontaminate, items_digest
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return bpe_encode(docs, public_tokenizers.path("byte_bpe_50k.json"), digests=True, blobs=False)
+    return bpe_encode(docs, public_tokenizers.path("byte_bpe_50k.json"), columns=("ids_sha256", "decoded_sha256"))
 
 
 def op2_idstore(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,6 +42,11 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxic.toxicity(docs, net).select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan_licenses(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.size("licenses").cast("long").alias("n_licenses"), F.concat_ws(",", "licenses").alias("licenses"), F.round("best", 6).alias("best"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out, at = rules.judge(docs, rules.fit(docs, table(spark, sf_dir, "labels")))
@@ -75,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_idstore": op2_idstore,
     "op3_decontaminate": op3_decontaminate,
     "op4_toxicity": op4_toxicity,
+    "op5_licenses": op5_licenses,
     "op6_quality_rules": op6_quality_rules,
     "op7_chat": op7_chat,
     "op8_language_id": op8_language_id,
@@ -83,6 +91,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op5_licenses": license_oracle(),
     "op7_chat": r"""
 WITH rows AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
