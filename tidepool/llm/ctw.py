@@ -32,9 +32,9 @@ _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 #: A byte that UTF-8 never has: before each text and after it.
 MARK = b"\xff"
 #: Bytes of text in a block of words, and in a step of byte counting; runs that a task gathers at a time.
-BLOCK_BYTES, STEP_BYTES, HELD_RUNS = 12 << 20, 4 << 20, 3_000_000
+BLOCK_BYTES, STEP_BYTES, HELD_RUNS = 6 << 20, 2 << 20, 2_000_000
 #: Bytes of model parts that a worker keeps.
-CACHE_BYTES = 96 << 20
+CACHE_BYTES = 64 << 20
 _ONE, _EIGHT, _BYTE = np.uint64(1), np.uint64(8), np.uint64(255)
 
 
@@ -303,6 +303,29 @@ def _of_planes(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<u4").reshape(-1)
 
 
+def _packed(batches):
+    """A task's (block, at, c) with one row for each block, or more where there are very many."""
+    held, size = [], 0
+
+    def rows():
+        block, at, c = (np.concatenate([h[k] for h in held]) for k in range(3))
+        order = np.argsort(block, kind="stable")
+        block, at, c = block[order], at[order], c[order]
+        first = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
+        cuts = list(zip(first, [*first[1:], len(block)]))
+        return pa.RecordBatch.from_arrays([pa.array(block[first]), pa.array(np.ones(len(first), np.int32)), pa.array([at[i:j].tobytes() for i, j in cuts], pa.binary()), pa.array([c[i:j].tobytes() for i, j in cuts], pa.binary())], ["block", "kind", "at", "c"])
+
+    for batch in batches:
+        if batch.num_rows:
+            held.append([x.to_numpy() for x in batch.columns])
+            size += batch.num_rows
+        if size > 2_000_000:
+            yield rows()
+            held, size = [], 0
+    if size:
+        yield rows()
+
+
 def score(docs: DataFrame, train_col: str, id_col: str = "doc_id", text_col: str = "text", depth: int = 5, parts: int | None = None) -> DataFrame:
     """For each row: id_col, n_tokens (words and the end), n_known (those seen in training), train_tokens,
     base_score (log10 probability by add-one unigrams), score (log10 probability of the text by
@@ -360,8 +383,8 @@ def score(docs: DataFrame, train_col: str, id_col: str = "doc_id", text_col: str
     ends = narrow.where("train").count()
     total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     n_all, v_all = total["n"] + ends, total["v"] + (1 if ends else 0)
-    known = words.join(counts, "word").select("block", F.lit(1).alias("kind"), "at", "c")
-    heads = table.where("kind = 0").select("block", "kind", "keys", "bytes", "ctw", "lens", "ids", F.lit(None).cast("int").alias("at"), F.lit(None).cast("long").alias("c"))
+    known = words.join(counts, "word").select("block", "at", "c").mapInArrow(_packed, "block long, kind int, at binary, c binary")
+    heads = table.where("kind = 0").select("block", "kind", "keys", "bytes", "ctw", "lens", "ids", F.lit(None).cast("binary").alias("at"), F.lit(None).cast("binary").alias("c"))
     both = heads.unionByName(known, allowMissingColumns=True)
     shuffled = both.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "block").sortWithinPartitions("block", "kind")
 
@@ -385,18 +408,14 @@ def score(docs: DataFrame, train_col: str, id_col: str = "doc_id", text_col: str
             return pa.RecordBatch.from_arrays([head["keys"].values, pa.array(lens + 1), pa.array(n_known), pa.array(np.full(k, n_all, np.int64)), pa.array(base), pa.array(ctw), pa.array(-ctw * np.log2(10) / sizes)], ["key", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte"])
 
         for batch in batches:
-            kinds = batch.column("kind").to_numpy()
-            cuts = [*np.flatnonzero(kinds == 0).tolist(), batch.num_rows]
-            if cuts[0]:
-                at.append(batch.column("at").slice(0, cuts[0]).to_numpy())
-                c.append(batch.column("c").slice(0, cuts[0]).to_numpy())
-            for i, j in zip(cuts, cuts[1:]):
-                if head is not None:
-                    yield result()
-                head, at, c = {x: batch.column(x)[i] for x in ("keys", "bytes", "ctw", "lens", "ids")}, [], []
-                if j > i + 1:
-                    at.append(batch.column("at").slice(i + 1, j - i - 1).to_numpy())
-                    c.append(batch.column("c").slice(i + 1, j - i - 1).to_numpy())
+            for i, kind in enumerate(batch.column("kind").to_pylist()):
+                if kind == 0:
+                    if head is not None:
+                        yield result()
+                    head, at, c = {x: batch.column(x)[i] for x in ("keys", "bytes", "ctw", "lens", "ids")}, [], []
+                else:
+                    at.append(np.frombuffer(batch.column("at")[i].as_py(), np.int32))
+                    c.append(np.frombuffer(batch.column("c")[i].as_py(), np.int64))
         if head is not None:
             yield result()
 
