@@ -2,14 +2,12 @@
 
 1. Each text's set of word shingles gets a SuperMinHash signature, whose bands are hashed. Exact copies
    (equal words in order) are folded into the one with the smallest id before any comparing.
-2. Documents with an equal band share a bucket. A bucket never gives all its pairs: first each member is
-   compared with the bucket's smallest; then, only where a bucket still spans several components, with a
-   growing share of pivots, until one component is left or every member has been a pivot. So no link
-   between bucket mates is lost, and a group of near copies costs a few comparisons a member.
-3. Candidates are verified on the full sets; union-find joins the links, first in each task and then
-   between tasks by the alternating star rounds.
-Every step is a table in the shared folder; hot buckets and texts are aggregated before they are shuffled,
-and joins on them can be split.
+2. Documents with an equal band are joined into candidate units by union-find. A batch of documents sends
+   each of its band hashes once, so a hash that very many documents share stays small on its way.
+3. A unit is verified on the full sets, in blocks of bounded size: a task counts the common shingles of a
+   pair of blocks by matrix products and passes on a spanning forest of the links, never the pairs.
+4. Union-find joins the links, first in each task and then between tasks by rounds of stars.
+Every step is a table in the shared folder.
 """
 
 from __future__ import annotations
@@ -27,7 +25,7 @@ _GOLD, _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np
 #: A signature value is a rank, then this many bits of the random part.
 _RANDOM = 24
 #: Elements whose permutations are held at a time.
-_CHUNK = 1 << 15
+_CHUNK = 1 << 13
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -39,7 +37,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 class WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 1_000_000:
+        if len(self) > 250_000:
             self.clear()
         got = self[word] = xxhash.xxh3_64_intdigest(word)
         return got
@@ -115,24 +113,17 @@ def band_hashes(signatures: np.ndarray, rows: int) -> np.ndarray:
     return out.view(np.int64)
 
 
-def _sets(texts: DataFrame, n: int) -> DataFrame:
-    def kernel(part: pa.RecordBatch) -> dict:
-        return {"shingles": pa.array([shingles(t, n)[0].tobytes() for t in raw(part, "text")], pa.binary())}
-
-    return map_texts(texts, "node", "text", "shingles binary", kernel)
-
-
 def _signed(docs: DataFrame, id_col: str, text_col: str, n: int, bands: int, rows: int) -> DataFrame:
-    """(node, n_shingles, words: hash of all words in order, bands), the last two null where there are none."""
+    """(node, n_shingles, words: hash of all words in order, bands: their packed hashes), the last two null
+    where there are no words."""
 
     def kernel(part: pa.RecordBatch) -> dict:
         got = [shingles(t, n) for t in raw(part, "text")]
         hashes = band_hashes(super_minhash([s for s, _ in got], bands * rows), rows)
-        some = np.array([len(s) > 0 for s, _ in got], bool)
-        listed = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(some * bands)].astype(np.int32)), pa.array(hashes[some].reshape(-1)))
-        return {"n_shingles": pa.array([len(s) for s, _ in got], pa.int64()), "words": pa.array([xxhash.xxh3_128_digest(b" ".join(w)) if w else None for _, w in got], pa.binary()), "bands": listed}
+        packed = [h.tobytes() if w else None for h, (_, w) in zip(hashes, got)]
+        return {"n_shingles": pa.array([len(s) for s, _ in got], pa.int64()), "words": pa.array([xxhash.xxh3_128_digest(b" ".join(w)) if w else None for _, w in got], pa.binary()), "bands": pa.array(packed, pa.binary())}
 
-    return map_texts(docs, id_col, text_col, "n_shingles long, words binary, bands array<long>", kernel).withColumnRenamed(id_col, "node")
+    return map_texts(docs, id_col, text_col, "n_shingles long, words binary, bands binary", kernel).withColumnRenamed(id_col, "node")
 
 
 def _local_union(batches):
@@ -177,41 +168,115 @@ def components(links: DataFrame) -> DataFrame:
         before = now
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int, heavy: int = 256) -> DataFrame:
-    """Of distinct pairs (a, b) those with 100 * intersection >= percent * union. A pivot's set goes to its
-    partners' sets once for each `heavy` of them, so that one with very many is dealt to many tasks."""
-    counts = pairs.groupBy("a").agg(F.ceil(F.count("*") / heavy).alias("salts"))
-    salted = pairs.join(counts, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("salts")))
-    partners = salted.join(sets.withColumnRenamed("node", "b"), "b").select("a", "salt", "b", "shingles")
-    pivots = counts.join(sets.withColumnRenamed("node", "a"), "a").select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), F.lit(None).cast("long").alias("b"), "shingles")
-    rows = pivots.union(partners)
-    parts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = rows.repartition(parts, "a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
+def _band_edges(signed: DataFrame, parts: int) -> DataFrame:
+    """(a, b): documents with equal bands, each with the smallest it met. signed: (node, bands)."""
+
+    def first_of_runs(hashes: np.ndarray, nodes: np.ndarray):
+        """Sorted hashes once each with their smallest node, and (node, smallest) of the others."""
+        order = np.lexsort((nodes, hashes))
+        hashes, nodes = hashes[order], nodes[order]
+        first = np.r_[True, hashes[1:] != hashes[:-1]] if len(hashes) else np.zeros(0, bool)
+        least = nodes[first][np.cumsum(first) - 1] if len(hashes) else nodes
+        edges = np.unique(np.stack([nodes, least])[:, ~first & (nodes != least)], axis=1)
+        return hashes[first], nodes[first], edges
 
-    def run(batches):
-        own = None
+    def send(batches):
         for batch in batches:
-            ids, others, blobs = batch.column("a").to_pylist(), batch.column("b").to_pylist(), batch.column("shingles").to_pylist()
-            found = []
-            for a, b, blob in zip(ids, others, blobs):
-                x = np.frombuffer(blob, np.uint64)
-                if b is None:
-                    own = x
-                    continue
-                both = len(own) + len(x) - len(np.union1d(own, x))
-                if 100 * both >= percent * (len(own) + len(x) - both):
-                    found.append((a, b))
-            yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], ["a", "b"])
-
-    return rows.mapInArrow(run, "a long, b long")
-
-
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80, bands: int = 40, rows: int = 5) -> DataFrame:
+            if not batch.num_rows:
+                continue
+            blobs = batch.column("bands").to_pylist()
+            hashes = np.frombuffer(b"".join(blobs), np.uint64)
+            nodes = np.repeat(batch.column("node").to_numpy(), [len(b) // 8 for b in blobs])
+            hashes, nodes, edges = first_of_runs(hashes, nodes)
+            bounds = np.searchsorted(hashes, np.array([(k << 64) // parts for k in range(parts)], np.uint64))
+            cuts = list(zip(range(parts), bounds, [*bounds[1:], len(hashes)]))
+            rows = [(k, 0, hashes[i:j].tobytes(), nodes[i:j].tobytes()) for k, i, j in cuts if j > i]
+            rows += [(int(edges[0][0]) % parts, 1, edges[0].tobytes(), edges[1].tobytes())] if edges.size else []
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows), (pa.int32(), pa.int32(), pa.binary(), pa.binary()))], ["part", "kind", "x", "y"])
+
+    def meet(batches):
+        held: dict[int, list] = {}
+        for batch in batches:
+            for part, kind, x, y in zip(*(c.to_pylist() for c in batch.columns)):
+                y = np.frombuffer(y, np.int64)
+                if kind:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(x, np.int64)), pa.array(y)], ["a", "b"])
+                else:
+                    held.setdefault(part, []).append((np.frombuffer(x, np.uint64), y))
+        for own in held.values():
+            _, _, edges = first_of_runs(np.concatenate([x for x, _ in own]), np.concatenate([y for _, y in own]))
+            yield pa.RecordBatch.from_arrays([pa.array(edges[0]), pa.array(edges[1])], ["a", "b"])
+
+    return signed.select("node", "bands").mapInArrow(send, "part int, kind int, x binary, y binary").repartition(parts, "part").mapInArrow(meet, "a long, b long")
+
+
+def forest(nodes: np.ndarray, sets: list[np.ndarray], percent: int, columns: int = 4096) -> np.ndarray:
+    """(node, smallest node that it reaches here) of the nodes that links join to a smaller one."""
+    n = len(nodes)
+    sizes = np.array([len(s) for s in sets])
+    owner = np.repeat(np.arange(n), sizes)
+    _, at, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = count > 1
+    at, owner = (np.cumsum(shared) - 1)[at][shared[at]], owner[shared[at]]
+    both = np.zeros((n, n), np.float32)  # exact: no set has 2^24 shingles of one slice of columns
+    for c in range(0, int(shared.sum()), columns):
+        own = (at >= c) & (at < c + columns)
+        x = np.zeros((n, columns), np.float32)
+        x[owner[own], at[own] - c] = 1
+        both += x @ x.T
+    linked = 100 * both.astype(np.float64) >= percent * (sizes[:, None] + sizes[None, :] - both)
+    linked |= nodes[:, None] == nodes[None, :]
+    label = nodes.copy()
+    while True:
+        least = np.where(linked, label[None, :], np.iinfo(np.int64).max).min(axis=1)
+        if (least == label).all():
+            moved = label != nodes
+            return np.stack([nodes[moved], label[moved]])
+        label = least
+
+
+def _links(texts: DataFrame, units: DataFrame, n: int, percent: int, parts: int, block: int = 512) -> DataFrame:
+    """Verified links inside units (node, unit), as forests (a, b). A unit of k blocks makes a group of
+    rows for each pair of them, at most 2 * block texts or so."""
+    sizes = units.groupBy("unit").agg(F.ceil(F.count("*") / block).cast("int").alias("k"))
+    placed = units.join(sizes, "unit").withColumn("block", F.pmod(F.xxhash64("node"), F.col("k")).cast("int"))
+    own = texts.join(placed, "node").select(F.struct("node", "unit", "k", "block").alias("key"), "text")
+
+    def kernel(part: pa.RecordBatch) -> dict:
+        return {"shingles": pa.array([shingles(t, n)[0].tobytes() for t in raw(part, "text")], pa.binary())}
+
+    sets = map_texts(own, "key", "text", "shingles binary", kernel)
+    other = sets.select("key", "shingles", F.explode(F.sequence(F.lit(0), F.col("key.k") - 1)).alias("other"))
+    rows = other.select("key.unit", F.least("key.block", "other").alias("i"), F.greatest("key.block", "other").alias("j"), "key.node", "shingles")
+    rows = rows.repartition(parts, "unit", "i", "j").sortWithinPartitions("unit", "i", "j")
+
+    def verify(batches):
+        now, nodes, sets_ = None, [], []
+
+        def done():
+            if len(nodes) < 2:
+                return []
+            a, b = forest(np.array(nodes, np.int64), [np.frombuffer(s, np.uint64) for s in sets_], percent)
+            return [pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])] if len(a) else []
+
+        for batch in batches:
+            for unit, i, j, node, blob in zip(*(c.to_pylist() for c in batch.columns)):
+                if (unit, i, j) != now:
+                    yield from done()
+                    now, nodes, sets_ = (unit, i, j), [], []
+                nodes.append(node)
+                sets_.append(blob)
+        yield from done()
+
+    return rows.mapInArrow(verify, "a long, b long")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80, bands: int = 90, rows: int = 8) -> DataFrame:
     """For each row of docs: id_col (a whole number), n_shingles (size of its set of n-word shingles),
     component_id (smallest id that it reaches by links of at least percent % Jaccard similarity) and kept
     (id_col = component_id).
 
-    With 40 bands of 5 values, a pair at exactly 80 % misses every bucket with probability 1.3e-7. A null
+    With 90 bands of 8 values, a pair at exactly 80 % shares no band with probability 6.5e-8. A null
     or empty text has no shingles and is its own component; rows that share an id are one node; a null id
     has a null component and is kept. Ties don't arise: ids order everything. Other columns are ignored.
     """
@@ -221,34 +286,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     copies = stored(some.groupBy("words").agg(F.min("node").alias("rep"), F.max("node").alias("last")).where("last > rep").select("words", "rep"), "copies")
     folded = stored(some.select("words", "node").join(copies, "words").where("node <> rep").select("node", "rep").distinct(), "folded")
 
-    # Buckets of two or more of the texts that differ.
-    banded = some.select("node", "n_shingles", "bands").join(folded, "node", "left_anti").select("node", "n_shingles", F.explode("bands").alias("bucket"))
-    shared = stored(banded.groupBy("bucket").agg(F.count("*").alias("size"), F.min("node").alias("first")).where("size > 1"), "buckets")
-    members = stored(banded.join(shared, "bucket"), "members")
-    fits = F.lit(100) * F.least("n_shingles", "other_shingles") >= F.lit(percent) * F.greatest("n_shingles", "other_shingles")
-    sets = stored(_sets(docs.join(members.select("node").distinct(), "node"), n).dropDuplicates(["node"]), "sets")
-
-    firsts = members.where("node = first").select("bucket", F.col("n_shingles").alias("other_shingles")).distinct()
-    star = members.where("node <> first").join(firsts, "bucket").where(fits).select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
-    links = stored(_verified(stored(star, "pairs"), sets, percent), "links")
-    found = components(links)
-    open_, pivots = members.where("size > 2"), 8
-    while True:
-        # Buckets that still span components, and of them the share of members that are pivots now.
-        named = open_.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        named = stored(named.select("bucket", "node", "n_shingles", "size", "component"), "named")
-        spans = stored(named.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("bucket"), "spans")
-        if spans.isEmpty():
-            break
-        open_ = named.join(spans, "bucket")
-        chosen = F.pmod(F.xxhash64("node", "bucket"), F.lit(1 << 24)) * F.col("size") < F.lit(pivots << 24).cast("long")
-        picks = open_.where(chosen).select("bucket", F.col("node").alias("other"), F.col("n_shingles").alias("other_shingles"), F.col("component").alias("other_component"))
-        pairs = open_.join(picks, "bucket").where(fits & (F.col("component") != F.col("other_component")))
-        pairs = stored(pairs.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct(), "pairs")
-        links = stored(links.union(_verified(pairs, sets, percent)), "links")
-        found = components(links)
-        open_ = stored(open_.where(F.col("size") > pivots).select("bucket", "node", "n_shingles", "size"), "open")
-        pivots *= 8
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    candidates = components(_band_edges(some.join(folded, "node", "left_anti"), parts))
+    units = candidates.toDF("node", "unit")
+    units = stored(units.union(units.select("unit", "unit").distinct()), "units")
+    found = components(stored(_links(docs, units, n, percent, parts), "links"))
 
     out = signed.select("node", "n_shingles").join(folded, "node", "left").withColumn("text_node", F.coalesce("rep", "node"))
     out = out.join(found.select(F.col("node").alias("text_node"), "component"), "text_node", "left")
