@@ -99,17 +99,17 @@ class Net:
     def inputs(self, vocabulary: list[bytes]) -> Inputs:
         """Word and n-gram numbers of a list of words."""
         if not vocabulary:
-            return Inputs(np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.float32))
+            return Inputs(np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.float32))
         codes, owner = gram_codes(vocabulary)
         count = np.bincount(owner, minlength=len(vocabulary)).astype(np.float32)
-        return Inputs(np.array([self.number.get(w, 0) for w in vocabulary], np.int64), self.grams(codes), owner, count)
+        grams = self.grams(codes)
+        known = grams > 0  # unknown n-grams only count
+        return Inputs(np.array([self.number.get(w, 0) for w in vocabulary], np.int32), grams[known], owner[known].astype(np.int32), count)
 
     def vectors(self, x: Inputs) -> np.ndarray:
-        known = x.grams > 0
         sums = np.zeros((len(x.words), CHAR_DIM), np.float32)
-        g, o = x.grams[known], x.owner[known]
         for k in range(CHAR_DIM):
-            sums[:, k] = np.bincount(o, self.p["char"][g, k], len(x.words))
+            sums[:, k] = np.bincount(x.owner, self.p["char"][x.grams, k], len(x.words))
         known_word = (x.words > 0)[:, None]
         return np.hstack([self.p["word"][x.words] * known_word, sums / np.maximum(x.count, 1)[:, None]]).astype(np.float32)
 
@@ -187,8 +187,7 @@ class Net:
             out[f"in_{side}"], out[f"bias_{side}"] = vectors.T @ g, g.sum(axis=0)
             d_vectors += g @ p[f"in_{side}"].T
         np.add.at(out["word"], x.words, d_vectors[:, :WORD_DIM] * (x.words > 0)[:, None])
-        known = x.grams > 0
-        np.add.at(out["char"], x.grams[known], (d_vectors[:, WORD_DIM:] / np.maximum(x.count, 1)[:, None])[x.owner[known]])
+        np.add.at(out["char"], x.grams, (d_vectors[:, WORD_DIM:] / np.maximum(x.count, 1)[:, None])[x.owner])
         return out
 
 
@@ -244,56 +243,65 @@ def scores(net: Net, texts: list[bytes]) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(worst, -700, 700))) * (lens > 0)
 
 
-def _vocabulary(docs: list[set], most: int, least: int) -> list:
-    count: dict = {}
-    for d in docs:
-        for x in d:
-            count[x] = count.get(x, 0) + 1
-    return sorted((x for x, n in count.items() if n >= least), key=lambda x: (-count[x], x))[:most]
+def _evidence(one: np.ndarray, all_: np.ndarray, rate: float) -> np.ndarray:
+    """Log-odds of label 1 in texts that hold an item, drawn towards 0 where texts are few. one, all_:
+    texts with label 1, and all texts, that hold each item."""
+    rate = min(max(rate, 1e-6), 1 - 1e-6)
+    p = np.clip((one + PRIOR * rate) / (all_ + PRIOR), 1e-6, 1 - 1e-6)
+    return np.clip(np.log(p / (1 - p)) - np.log(rate / (1 - rate)), -2, 4)
 
 
-def _evidence(y: np.ndarray, doc: np.ndarray, item: np.ndarray, n: int) -> np.ndarray:
-    """Log-odds of label 1 in texts that hold an item, drawn towards 0 where texts are few."""
-    pairs = np.unique(doc * np.int64(n) + item)
-    d, i = pairs // n, pairs % n
-    one, all_ = np.bincount(i, y[d], n), np.bincount(i, minlength=n)
-    rate = max(y.mean(), 1e-6)
-    p = np.clip((one + PRIOR * rate) / (all_ + PRIOR), 1e-6, 1 - 1e-6)
-    return np.clip(np.log(p / (1 - p)) - np.log(rate / max(1 - rate, 1e-6)), -2, 4)
+def _texts_with(y: np.ndarray, by_doc: list[np.ndarray], n: int) -> tuple[np.ndarray, np.ndarray]:
+    one, all_ = np.zeros(n), np.zeros(n)
+    for label, items in zip(y, by_doc):
+        all_[items] += 1
+        one[items] += label
+    return one, all_
 
 
 def train(texts: list[bytes], labels: list[int], rounds: int = 10, steps: int = 40, rate: float = 0.08, most_words: int = 20_000, most_grams: int = 60_000, seed: int = 5) -> Net:
     """Fit on whole texts by Adagrad. The first coordinate of every word and n-gram starts at its evidence."""
     rng, y = np.random.default_rng(seed), np.array(labels, float)
     vocabulary, ids, lens = numbered(texts)
-    doc = np.repeat(np.arange(len(texts)), lens)
     bounds = np.r_[0, np.cumsum(lens)]
     least = 2 if len(texts) < 1000 else 3
-    by_doc = [set(ids[i:j].tolist()) for i, j in zip(bounds, bounds[1:])]
-    chosen = [vocabulary[i] for i in _vocabulary(by_doc, most_words, least)]
-    codes, owner = gram_codes(vocabulary) if vocabulary else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-    # n-grams in `least` texts, the commonest first
-    flat, where = np.unique(codes, return_inverse=True)
-    pairs = np.unique(doc * np.int64(max(len(vocabulary), 1)) + ids)
-    pair_doc, pair_word = pairs // max(len(vocabulary), 1), pairs % max(len(vocabulary), 1)
-    first = np.searchsorted(owner, np.arange(len(vocabulary) + 1))
-    size = np.diff(first)[pair_word]
-    step = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-    gram = where[first[pair_word].repeat(size) + step]
-    doc_gram = np.unique(np.repeat(pair_doc, size) * np.int64(max(len(flat), 1)) + gram)
-    in_docs = np.bincount(doc_gram % max(len(flat), 1), minlength=len(flat))
-    kept = np.flatnonzero(in_docs >= least)
-    kept = kept[np.argsort(-in_docs[kept], kind="stable")][:most_grams]
+    word_docs = [np.unique(ids[i:j]) for i, j in zip(bounds, bounds[1:])]
+    word_one, word_all = _texts_with(y, word_docs, len(vocabulary))
+    common = np.flatnonzero(word_all >= least)
+    common = common[np.argsort(-word_all[common], kind="stable")][:most_words]
+    chosen = [vocabulary[i] for i in common]
+    # n-grams of all words, in parts: their codes, and the numbers of each word's n-grams
+    chunks = [vocabulary[i : i + 20_000] for i in range(0, len(vocabulary), 20_000)]
+    flat = np.zeros(0, np.uint64)
+    for c in chunks:
+        flat = np.union1d(flat, gram_codes(c)[0])
+    where, sizes = [np.zeros(0, np.int32)], []
+    for c in chunks:
+        codes, owner = gram_codes(c)
+        where.append(np.searchsorted(flat, codes).astype(np.int32))
+        sizes.append(np.bincount(owner, minlength=len(c)))
+    where, first = np.concatenate(where), np.r_[0, np.cumsum(np.concatenate([np.zeros(0, np.int64), *sizes]))].astype(np.int64)
+
+    def grams_of(w: np.ndarray) -> np.ndarray:
+        size = first[w + 1] - first[w]
+        return np.unique(where[np.repeat(first[w], size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)])
+
+    gram_one, gram_all = np.zeros(len(flat)), np.zeros(len(flat))
+    for label, w in zip(y, word_docs):
+        g = grams_of(w)
+        gram_all[g] += 1
+        gram_one[g] += label
+    kept = np.flatnonzero(gram_all >= least)
+    kept = kept[np.argsort(-gram_all[kept], kind="stable")][:most_grams]
     net = Net.new({w: i for i, w in enumerate(chosen, 1)}, GramIndex(flat[kept]), rng)
     if not len(texts) or y.min() == y.max():
         net.p["out"][:] = 0
         net.p["out_bias"][:] = 10 if len(y) and y.min() == 1 else -10
         return net
+    del where, word_docs
     x = net.inputs(vocabulary)
-    net.p["word"][1:, 0] = _evidence(y, doc, x.words[ids], len(chosen) + 1)[1:]
-    to = np.zeros(len(flat), np.int64)
-    to[kept] = np.arange(1, len(kept) + 1)
-    net.p["char"][1:, 0] = 2 * _evidence(y, doc_gram // len(flat), to[doc_gram % len(flat)], len(kept) + 1)[1:]
+    net.p["word"][1:, 0] = _evidence(word_one[common], word_all[common], y.mean())
+    net.p["char"][1:, 0] = 2 * _evidence(gram_one[kept], gram_all[kept], y.mean())
     for side in "fb":
         net.p[f"in_{side}"][[0, WORD_DIM], 2 * HIDDEN :] += np.float32(0.5)
     at, own = windows(lens, ids, len(vocabulary))
@@ -326,7 +334,7 @@ def train(texts: list[bytes], labels: list[int], rounds: int = 10, steps: int =
     return net
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most_texts: int = 6_000, most_chars: int = 20_000) -> Net:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most_texts: int = 4_000, most_chars: int = 20_000) -> Net:
     """Train on at most most_texts labelled texts, half of them (where there are as many) with label 1,
     those with the smallest hashes of their ids; labelled texts of over most_chars characters are left out
     of training, as are null labels and texts."""
