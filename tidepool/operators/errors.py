@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidepool.functions.sequences import base_index, hamming, letters, phred
-from tidepool.operators.dereplicate import dereplicate
+from tidepool.operators.dereplicate import counts, dereplicate
 
 TOP = 40
 
@@ -19,7 +19,7 @@ def match_counts(reads: DataFrame) -> DataFrame:
 
 
 def neighbours(uniques: DataFrame, max_dist: int = 8) -> DataFrame:
-    """Pairs (parent, child, dist) of sequences (id, seq, cnt) of equal length that differ in 1 to max_dist
+    """Pairs (parent, child, dist, parent_cnt, child_cnt) of sequences (id, seq, cnt) of equal length that differ in 1 to max_dist
     places; the parent is the commoner, of equals the first by sequence.
 
     Of max_dist + 1 chunks of two such sequences one at least is equal, so candidates come from an equi-join
@@ -38,20 +38,18 @@ def neighbours(uniques: DataFrame, max_dist: int = 8) -> DataFrame:
     earlier = F.arrays_zip(F.slice("a_chunks", F.lit(1), F.col("no")).alias("x"), F.slice("b_chunks", F.lit(1), F.col("no")).alias("y"))
     pairs = a.join(b, ["size", "no", "chunk"]).where(before & ~F.exists(earlier, lambda z: z["x"] == z["y"]))
     pairs = pairs.withColumn("dist", hamming(F.col("a_seq"), F.col("b_seq"))).where(F.col("dist").between(1, max_dist))
-    return pairs.select(F.col("a_id").alias("parent"), F.col("b_id").alias("child"), "dist")
+    return pairs.select(F.col("a_id").alias("parent"), F.col("b_id").alias("child"), "dist", F.col("a_cnt").alias("parent_cnt"), F.col("b_cnt").alias("child_cnt"))
 
 
 def mismatch_counts(reads: DataFrame, max_dist: int = 8) -> DataFrame:
     """(t, o, q, w): for every pair of neighbours, at each place where they differ, the smaller of their
     numbers as evidence that t was read as o at the child's mean score (cut to a whole number, capped)."""
     whole = reads.where(F.length("seq") == F.length("qual")).withColumn("all", F.lit(1))
-    uniques = dereplicate(whole, "all").select(F.col("seq").alias("id"), "seq", "cnt", "qual_sum")
-    pairs = neighbours(uniques, max_dist)
-    p = uniques.select(F.col("id").alias("parent"), F.col("cnt").alias("p_cnt"))
-    c = uniques.select(F.col("id").alias("child"), F.col("cnt").alias("c_cnt"), "qual_sum")
-    both = pairs.join(p, "parent").join(c, "child")
+    pairs = neighbours(counts(whole, "all").select(F.col("seq").alias("id"), "seq", "cnt"), max_dist)
+    children = dereplicate(whole, "all").select(F.col("seq").alias("child"), "qual_sum")
+    both = pairs.join(children, "child")
     places = F.arrays_zip(letters(F.col("parent")).alias("t"), letters(F.col("child")).alias("o"), F.col("qual_sum").alias("s"))
-    at = both.select(F.least("p_cnt", "c_cnt").alias("w"), "c_cnt", F.explode(F.filter(places, lambda x: x["t"] != x["o"])).alias("x"))
+    at = both.select(F.least("parent_cnt", "child_cnt").alias("w"), F.col("child_cnt").alias("c_cnt"), F.explode(F.filter(places, lambda x: x["t"] != x["o"])).alias("x"))
     q = F.least(F.floor(F.col("x.s") / F.col("c_cnt")).cast("int"), F.lit(TOP))
     return at.groupBy(base_index(F.col("x.t")).alias("t"), base_index(F.col("x.o")).alias("o"), q.alias("q")).agg(F.sum("w").alias("w"))
 
