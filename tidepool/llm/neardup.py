@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidepool.llm.common import drop_stored, map_texts, raw, stored
+from tidepool.llm.common import CACHES, drop_stored, map_texts, raw, stored
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _GOLD, _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -44,6 +44,7 @@ class WordHashes(dict):
 
 
 _WORDS = WordHashes()
+CACHES[__name__] = _WORDS.clear
 
 
 def shingles(text: bytes, n: int) -> tuple[np.ndarray, list[bytes]]:
@@ -240,7 +241,8 @@ def _links(texts: DataFrame, units: DataFrame, n: int, percent: int, parts: int,
     rows for each pair of them, at most 2 * block texts or so."""
     sizes = units.groupBy("unit").agg(F.ceil(F.count("*") / block).cast("int").alias("k"))
     placed = units.join(sizes, "unit").withColumn("block", F.pmod(F.xxhash64("node"), F.col("k")).cast("int"))
-    own = texts.join(placed, "node").select(F.struct("node", "unit", "k", "block").alias("key"), "text")
+    # The same plan for every size: both sides are dealt by node, whatever their size.
+    own = texts.join(placed.hint("shuffle_hash"), "node").select(F.struct("node", "unit", "k", "block").alias("key"), "text")
 
     def kernel(part: pa.RecordBatch) -> dict:
         return {"shingles": pa.array([shingles(t, n)[0].tobytes() for t in raw(part, "text")], pa.binary())}
