@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidepool.functions.sequences import first_mismatch
+from tidepool.functions.kernels import compared, differences
 
 MIN_ARM = 8
 
@@ -22,11 +23,18 @@ def chimeras(asvs: DataFrame, by: str = "sample") -> DataFrame:
     rows = asvs.select(F.col(by).alias("g"), "id", "seq", "abundance", F.substring("seq", 1, MIN_ARM).alias("head"), F.substring(F.col("seq"), F.length("seq") - (MIN_ARM - 1), F.lit(MIN_ARM)).alias("tail"))
     rows = rows.where(F.length("seq") >= 2 * MIN_ARM)
     mixed = rows.groupBy("g").agg((F.min(F.length("seq")) < F.max(F.length("seq"))).alias("mixed"))
-    rows = rows.join(mixed, "g")
+    parts = int(asvs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.join(mixed, "g").repartition(parts, "g", "head")
     parent = lambda n: rows.select("g", *(F.col(c).alias(f"{n}_{c}") for c in ("id", "seq", "abundance", "head", "tail")))
     p1, p2 = parent("p1"), parent("p2")
     left = rows.join(p1.withColumnRenamed("p1_head", "head"), ["g", "head"]).where(F.col("p1_abundance") > F.col("abundance"))
-    left = left.withColumn("x", first_mismatch(F.col("seq"), F.col("p1_seq"))).where(F.col("x") >= MIN_ARM)
+
+    def first(x, y, more):
+        differ = differences(x, y)
+        at = differ.argmax(axis=1) if differ.shape[1] else np.zeros(len(x), np.int64)
+        return {"x": at, "valid": (at >= MIN_ARM) & differ.any(axis=1)}
+
+    left = compared(left, "seq", "p1_seq", "x int", first)
     left = left.select("g", "id", "seq", "abundance", "tail", "mixed", "p1_id", F.length("p1_seq").alias("p1_size"), "x")
 
     size = F.least(F.length("seq"), F.col("p1_size"), F.length("p2_seq"))

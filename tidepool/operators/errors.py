@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidepool.functions.sequences import base_index, hamming, letters, phred
+from tidepool.functions.kernels import compared, differences
+from tidepool.functions.sequences import base_index, letters, phred
 from tidepool.operators.dereplicate import counts, dereplicate
 
 TOP = 40
@@ -31,14 +33,26 @@ def neighbours(uniques: DataFrame, max_dist: int = 8) -> DataFrame:
     bound = lambda i: F.floor(size * i / k).cast("int")
     chunks = F.array(*(F.substring(F.col("seq"), bound(i) + 1, bound(i + 1) - bound(i)) for i in range(k)))
     keyed = uniques.select("id", "seq", "cnt", size.alias("size"), F.when(size >= k, chunks).otherwise(F.array(F.lit(""))).alias("chunks"))
-    rows = keyed.select("*", F.posexplode("chunks").alias("no", "chunk"))
-    a = rows.select("size", "no", "chunk", *(F.col(c).alias(f"a_{c}") for c in ("id", "seq", "cnt", "chunks")))
-    b = rows.select("size", "no", "chunk", *(F.col(c).alias(f"b_{c}") for c in ("id", "seq", "cnt", "chunks")))
+    parts = int(uniques.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # A number of partitions that is asked for is kept, however small the keys are: comparing is the work.
+    rows = keyed.select("id", "seq", "cnt", "size", F.posexplode("chunks").alias("no", "chunk")).repartition(parts, "size", "no", "chunk")
+    side = lambda n: rows.select("size", "no", "chunk", *(F.col(c).alias(f"{n}_{c}") for c in ("id", "seq", "cnt")))
     before = (F.col("a_cnt") > F.col("b_cnt")) | ((F.col("a_cnt") == F.col("b_cnt")) & (F.col("a_seq") < F.col("b_seq")))
-    earlier = F.arrays_zip(F.slice("a_chunks", F.lit(1), F.col("no")).alias("x"), F.slice("b_chunks", F.lit(1), F.col("no")).alias("y"))
-    pairs = a.join(b, ["size", "no", "chunk"]).where(before & ~F.exists(earlier, lambda z: z["x"] == z["y"]))
-    pairs = pairs.withColumn("dist", hamming(F.col("a_seq"), F.col("b_seq"))).where(F.col("dist").between(1, max_dist))
-    return pairs.select(F.col("a_id").alias("parent"), F.col("b_id").alias("child"), "dist", F.col("a_cnt").alias("parent_cnt"), F.col("b_cnt").alias("child_cnt"))
+    pairs = side("a").join(side("b"), ["size", "no", "chunk"]).where(before).drop("chunk")
+
+    def compare(x, y, more):
+        differ = differences(x, y)
+        n = x.shape[1]
+        dist = differ.sum(axis=1)
+        first = np.zeros(len(x), np.int64)
+        if n >= k:
+            edges = np.array([n * i // k for i in range(k + 1)])
+            sums = np.concatenate([np.zeros((len(x), 1), np.int64), np.cumsum(differ, axis=1)], axis=1)
+            first = (sums[:, edges[1:]] == sums[:, edges[:-1]]).argmax(axis=1)
+        return {"dist": dist, "valid": (dist >= 1) & (dist <= max_dist) & (first == more["no"])}
+
+    found = compared(pairs, "a_seq", "b_seq", "dist int", compare, extra=("no",), drop=("a_seq", "b_seq", "no", "size"))
+    return found.select(F.col("a_id").alias("parent"), F.col("b_id").alias("child"), "dist", F.col("a_cnt").alias("parent_cnt"), F.col("b_cnt").alias("child_cnt"))
 
 
 def mismatch_counts(reads: DataFrame, max_dist: int = 8) -> DataFrame:

@@ -70,13 +70,19 @@ def filter_stats(reads: DataFrame, config: FilterConfig = FilterConfig()) -> Dat
     return trimmed(reads, config).groupBy("sample").agg(F.count("*").alias("reads_in"), F.count_if("passes").alias("reads_out"))
 
 
+def check_mates(fwd: DataFrame, rev: DataFrame) -> None:
+    """Fail where a sample's mates differ in number. Only counts of records are read for this."""
+    n = lambda df, name: df.groupBy("sample").agg(F.count("*").alias(name))
+    wrong = n(fwd, "f").join(n(rev, "r"), "sample", "full").where(~F.col("f").eqNullSafe(F.col("r"))).limit(1).collect()
+    if wrong:
+        raise ValueError(f"sample {wrong[0]['sample']}: mates differ in number, {wrong[0]['f'] or 0} and {wrong[0]['r'] or 0}")
+
+
 def paired(fwd: DataFrame, rev: DataFrame, fwd_config: FilterConfig, rev_config: FilterConfig) -> DataFrame:
-    """Mates by place in their files: (sample, rec, both reads as f and r). Ids aren't compared. A read
-    without a mate fails the query."""
+    """Mates by place in their files: (sample, rec, both reads as f and r). Ids aren't compared."""
+    check_mates(fwd, rev)
     side = lambda df, c, name: trimmed(df, c).select("sample", "rec", F.struct("id", cut("seq").alias("seq"), cut("qual").alias("qual"), "ee", "passes").alias(name))
-    both = side(fwd, fwd_config, "f").join(side(rev, rev_config, "r"), ["sample", "rec"], "full")
-    alone = F.concat(F.lit("sample "), F.col("sample"), F.lit(": mates differ in number at record "), F.col("rec").cast("string"))
-    return both.withColumn("f", F.when(F.col("f").isNull() | F.col("r").isNull(), F.raise_error(alone).cast(both.schema["f"].dataType)).otherwise(F.col("f")))
+    return side(fwd, fwd_config, "f").join(side(rev, rev_config, "r"), ["sample", "rec"])
 
 
 def filter_pairs(fwd: DataFrame, rev: DataFrame, fwd_config: FilterConfig, rev_config: FilterConfig) -> DataFrame:

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidepool.functions.sequences import hamming, reverse_complement
+from tidepool.functions.kernels import compared
+from tidepool.functions.sequences import reverse_complement
 
 
 @dataclass(frozen=True)
@@ -41,14 +43,23 @@ def merge_pairs(fwd: DataFrame, rev: DataFrame, config: MergeConfig = MergeConfi
     pieces_at = lambda s: F.array(*(F.struct(F.lit(i).alias("no"), F.substring(F.col("fwd_seq"), s + (cuts[i] + 1), F.lit(cuts[i + 1] - cuts[i])).alias("piece")) for i in range(k)))
     places = F.flatten(F.transform(starts, pieces_at))
     f_keys = f.select("*", F.explode(F.array_distinct(places)).alias("x")).select("sample", "fwd_seq", "fwd_n", "x.no", "x.piece")
-    pairs = f_keys.join(r_keys, ["sample", "no", "piece"]).select("sample", "fwd_seq", "rev_seq", "mate", "fwd_n", "rev_n").distinct()
-    most = F.least(F.length("fwd_seq"), F.length("mate"))
-    tail, front = lambda n: F.substring(F.col("fwd_seq"), F.length("fwd_seq") - n + 1, n), lambda n: F.substring(F.col("mate"), F.lit(1), n)
-    tried = F.transform(F.sequence(F.lit(c.min_overlap), most), lambda n: F.struct(hamming(tail(n), front(n)).alias("mismatches"), (-n).alias("less")))
-    found = pairs.withColumn("best", F.array_min(F.filter(tried, lambda x: x["mismatches"] <= c.max_mismatches))).where("best is not null")
-    overlap = -F.col("best.less")
-    rest = F.col("mate") if c.just_concatenate else F.substring(F.col("mate"), overlap + 1, F.length("mate"))
-    return found.select("sample", "fwd_seq", "rev_seq", F.concat("fwd_seq", rest).alias("seq"), F.least("fwd_n", "rev_n").alias("abundance"), overlap.alias("overlap"), F.col("best.mismatches").alias("mismatches"))
+    parts = int(fwd.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pairs = f_keys.join(r_keys, ["sample", "no", "piece"]).select("sample", "fwd_seq", "rev_seq", "mate", "fwd_n", "rev_n")
+    # Dealt by the pair, to a number of partitions that is kept: one shuffle makes pairs distinct and spreads them.
+    pairs = pairs.repartition(parts, "sample", "fwd_seq", "rev_seq").distinct()
+
+    def best(x, y, more):
+        """The overlap with the fewest mismatches, tried from the longest."""
+        least, chosen = np.full(len(x), c.max_mismatches + 1), np.zeros(len(x), np.int64)
+        for n in range(min(x.shape[1], y.shape[1]), c.min_overlap - 1, -1):
+            wrong = (x[:, x.shape[1] - n :] != y[:, :n]).sum(axis=1)
+            better = wrong < least
+            least[better], chosen[better] = wrong[better], n
+        return {"overlap": chosen, "mismatches": least, "valid": chosen > 0}
+
+    found = compared(pairs, "fwd_seq", "mate", "overlap int, mismatches int", best)
+    rest = F.col("mate") if c.just_concatenate else F.substring(F.col("mate"), F.col("overlap") + 1, F.length("mate"))
+    return found.select("sample", "fwd_seq", "rev_seq", F.concat("fwd_seq", rest).alias("seq"), F.least("fwd_n", "rev_n").alias("abundance"), "overlap", "mismatches")
 
 
 def merger_table(merged: DataFrame) -> DataFrame:

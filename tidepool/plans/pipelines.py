@@ -43,7 +43,7 @@ def _learn(reads: DataFrame, config: PipelineConfig) -> ErrorModel:
 def single(reads: DataFrame, config: PipelineConfig = PipelineConfig(), model: ErrorModel | None = None) -> DataFrame:
     """(seq, abundance) over all samples: filter, learn, denoise each sample, sum by sequence, remove
     chimeras."""
-    kept = filter_reads(reads, config.fwd)
+    kept = filter_reads(reads, config.fwd).persist()  # read once to learn from and once to denoise
     asvs = _DENOISERS[config.pool](dereplicate(kept), model or _learn(kept, config), config.denoise)
     if config.chimeras_first:
         rows = asvs.select(F.lit(1).alias("all"), F.concat("sample", F.lit("/"), "seq").alias("id"), "seq", "abundance")
@@ -55,10 +55,10 @@ def samples(fwd: DataFrame, rev: DataFrame | None = None, config: PipelineConfig
     """(sample, seq, abundance): filter, learn (from the forward reads, for both mates), denoise, merge,
     remove each sample's chimeras."""
     if rev is None:
-        kept = filter_reads(fwd, config.fwd)
+        kept = filter_reads(fwd, config.fwd).persist()
         asvs = _DENOISERS[config.pool](dereplicate(kept), model or _learn(kept, config), config.denoise)
         return remove_chimeras(asvs)
-    pairs = filter_pairs(fwd, rev, config.fwd, config.rev)
+    pairs = filter_pairs(fwd, rev, config.fwd, config.rev).persist()
     side = lambda s: pairs.select("sample", "rec", F.col(f"{s}_seq").alias("seq"), F.col(f"{s}_qual").alias("qual"))
     model = model or _learn(side("fwd"), config)
     other = _learn(side("rev"), config) if config.separate_errors else model

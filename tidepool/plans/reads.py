@@ -79,6 +79,8 @@ def amplicons(spark: SparkSession, sf_dir: str) -> DataFrame:
     """reads(sample, mate, rec, id, seq, qual) of 60 bases, one for each row of lineitem: a template chosen
     by the part, in a sample chosen by the supplier, a quarter of them with one wrong base of low score."""
     rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").selectExpr("l_orderkey AS o", "l_linenumber AS n", "l_partkey % 100 AS share", "concat('s', l_suppkey % 8) AS sample")
+    # A file of narrow rows is one partition; writing the bases out is the work.
+    rows = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
     template = "CASE " + " ".join(f"WHEN share < {s} THEN {v}" for v, s in enumerate(SHARES)) + " END"
     rows = rows.selectExpr("sample", "o * 8 + n AS rec", "o", "(o * 31 + n * 17) % 240 AS wrong", f"{template} AS v")
     code = f"cast(((CASE WHEN v < 11 THEN v WHEN i < 30 THEN 0 ELSE 1 END) + 1L) * (i + 1) * {_FACTOR} div 65536 % 4 AS int)"

@@ -31,7 +31,7 @@ class FileReads(InputPartition):
 def open_plain(path: str):
     """A byte stream of a file, decompressed if it is gzip."""
     fs, name = (pafs.FileSystem.from_uri(path)) if "://" in path else (pafs.LocalFileSystem(), os.path.abspath(path))
-    with fs.open_input_stream(name) as f:
+    with fs.open_input_stream(name, compression=None) as f:
         packed = f.read(2) == b"\x1f\x8b"
     stream = fs.open_input_stream(name, compression=None)
     return gzip.GzipFile(fileobj=stream) if packed else stream
