@@ -26,7 +26,7 @@ import regex
 from pyspark.sql import DataFrame
 from tokenizers.pre_tokenizers import ByteLevel
 
-from tidepool.llm.common import map_texts, strings
+from tidepool.llm.common import CACHES, map_texts, strings
 
 # Fixed value: the pre-tokenizer pattern of the byte-level vocabulary, as public_tokenizers.PATTERN has it.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -186,9 +186,9 @@ class Encoder:
 
     def __init__(self, merges: Merges, block: int = BLOCK):
         self.merges, self.block, self.pattern = merges, block, regex.compile(PATTERN)
-        self.word = Memo(lambda w: pack(self._long(w.encode()) if len(w) > 256 else merges.tokens(w.encode())), 500_000)
+        self.word = Memo(lambda w: pack(self._long(w.encode()) if len(w) > 256 else merges.tokens(w.encode())), 300_000)
         self.bare = Memo(lambda p: self._pieces(p), 50_000)
-        self.spaced = Memo(lambda p: self._pieces(f" {p}"), 200_000)
+        self.spaced = Memo(lambda p: self._pieces(f" {p}"), 150_000)
         self.split = ByteLevel(add_prefix_space=False, use_regex=True).pre_tokenize_str
         self._reset()
 
@@ -262,7 +262,7 @@ class Encoder:
                 end = m.end()
             buffer = buffer[end:]
             if len(buffer) > self.block:
-                start = 1 if buffer[0] == " " and not buffer[1].isspace() else 0
+                start = 1 if buffer[0] == " " and not _CLASSES["space"].match(buffer, 1) else 0
                 self.kind = next(k for k, c in _CLASSES.items() if c.match(buffer, start))
                 self.run = PieceStream(self.merges, self.block)
                 cut = len(buffer) - _TAIL
@@ -303,6 +303,7 @@ class Decoder:
 
 
 _ENCODERS: dict[bytes, Encoder] = {}
+CACHES[__name__] = _ENCODERS.clear
 
 
 def encoder_of(data: bytes) -> Encoder:

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidepool.llm.common import new_path, raw, slices, stored
+from tidepool.llm.common import CACHES, new_path, raw, slices, stored, using
 from tidepool.llm.idstore import _get, _put
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -76,6 +76,7 @@ def part_of(codes: np.ndarray, parts: int) -> np.ndarray:
 
 
 def _log_gamma(x: np.ndarray) -> np.ndarray:
+    x = np.asarray(x, float)
     less = np.zeros_like(x)
     for _ in range(6):
         less += np.log(x)
@@ -214,6 +215,7 @@ class Model:
 
 
 _MODELS: dict[str, Model] = {}
+CACHES[__name__] = _MODELS.clear
 
 
 def _model(uri: str, parts: int) -> Model:
@@ -344,6 +346,7 @@ def score(docs: DataFrame, train_col: str, id_col: str = "doc_id", text_col: str
     schema = f"block long, kind int, keys array<{key_type}>, bytes binary, ctw binary, lens binary, ids binary, word binary, at int, n long"
 
     def blocks(batches):
+        using(__name__)
         model, made = _model(uri, parts), 0
         for batch in batches:
             for part in slices(batch, "text", BLOCK_BYTES):

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tidepool.llm.bpe import byte_alphabet
-from tidepool.llm.common import new_path, slices, stored, strings
+from tidepool.llm.common import CACHES, new_path, slices, stored, strings, using
 
 GAMMA, LEVELS, MAGIC = 2.0, 40, b"TPMPH001"
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
@@ -256,6 +256,7 @@ class WordEncoder:
 _SIGNS = '!"#$%&()*+,-./:;=?@[\\]^_`{|}~'
 
 _ENCODERS: dict[int, WordEncoder] = {}
+CACHES[__name__] = _ENCODERS.clear
 
 
 def _encoder(data: bytes, dtype: str, end_id: int) -> WordEncoder:
@@ -289,6 +290,7 @@ def write_ids(df: DataFrame, vocabulary: str, uri: str | None = None, id_col: st
     rows = rows.repartitionByRange(shards, *order[:2]).sortWithinPartitions(*order)
 
     def shard_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        using(__name__)
         shard, at, found = TaskContext.get().partitionId(), 0, []
         encoder = _encoder(shared.value, dtype, end_id)
 

@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tidepool.llm.common import map_texts, raw
+from tidepool.llm.common import CACHES, map_texts, raw
 from tidepool.llm.neardup import WordHashes, mixed
 from tidepool.llm.phrases import words
 
@@ -42,6 +42,7 @@ TEMPLATES = {
 }
 
 _HASH = WordHashes()
+CACHES[__name__] = _HASH.clear
 
 
 def shingle_runs(word_list: list[bytes], k: int) -> np.ndarray:
