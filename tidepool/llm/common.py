@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import shutil
 import tempfile
 import uuid
@@ -18,6 +20,32 @@ from pyspark.sql import functions as F
 SLICE_BYTES = 4 << 20
 
 
+#: By operator: how to empty the caches that it keeps in a Python worker between tasks.
+CACHES: dict[str, Callable[[], None]] = {}
+_last = ""
+
+
+def using(name: str) -> None:
+    """Called by an operator's kernel: when a worker goes over to another operator, the caches of the
+    others are emptied, so that a worker holds one operator's at a time."""
+    global _last
+    if name != _last:
+        for other, clear in CACHES.items():
+            if other != name:
+                clear()
+        _last = name
+
+
+def release() -> None:
+    """Give memory that a task has freed back to the system; workers live on between tasks."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -99,11 +127,15 @@ def map_texts(df: DataFrame, id_col: str, text_col: str, schema: str, kernel: Ca
     narrow = df.select(F.col(f"`{id_col}`").alias("key"), F.col(f"`{text_col}`").cast("string").alias("text"))
     names = ["key", *(x.split()[0] for x in schema.split(", "))]
 
+    owner = kernel.__module__
+
     def run(batches):
+        using(owner)
         for batch in batches:
             for part in slices(batch, "text"):
                 got = kernel(part)
                 yield pa.RecordBatch.from_arrays([part.column("key"), *(x if isinstance(x, pa.Array) else pa.array(x) for x in (got[n] for n in names[1:]))], names)
+        release()
 
     out = narrow.mapInArrow(run, f"key {key_type}, {schema}")
     return out.withColumnRenamed("key", id_col)
@@ -115,9 +147,10 @@ def annotate(df: DataFrame, text_col: str, schema: str, kernel: Callable[[pa.Rec
     name = free_name(df.columns, "annotation")
     names = [x.split()[0] for x in schema.split(", ")]
     at = df.columns.index(text_col)
-    columns = df.columns
+    columns, owner = df.columns, kernel.__module__
 
     def run(batches):
+        using(owner)
         for batch in batches:
             text = batch.column(at).cast(pa.string())
             with_text = pa.RecordBatch.from_arrays([pa.array(np.arange(batch.num_rows)), text], ["row", "text"])
@@ -126,6 +159,7 @@ def annotate(df: DataFrame, text_col: str, schema: str, kernel: Callable[[pa.Rec
                 arrays = [x if isinstance(x, pa.Array) else pa.array(x) for x in (got[n] for n in names)]
                 rows = batch.slice(part.column("row")[0].as_py(), part.num_rows)
                 yield pa.RecordBatch.from_arrays([*rows.columns, pa.StructArray.from_arrays(arrays, names)], [*columns, name])
+        release()
 
     typed = ", ".join(f"{x.split()[0]}: {x.split()[1]}" for x in schema.split(", "))
     from pyspark.sql.types import StructField, StructType, _parse_datatype_string

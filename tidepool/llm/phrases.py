@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidepool.llm.common import drop_stored, raw, slices, stored
+from tidepool.llm.common import drop_stored, raw, release, slices, stored, using
 
 #: Bytes of text in a segment, and of query text that is broadcast at a time.
 SEGMENT_BYTES, BLOCK_BYTES = 2 << 20, 8 << 20
@@ -194,9 +194,11 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     narrow = docs.select(F.col(f"`{id_col}`").alias("key"), F.col(f"`{text_col}`").cast("string").alias("text"))
 
     def run(batches):
+        using(__name__)
         for batch in batches:
             for part in slices(batch, "text", segment_bytes):
                 yield Segment.build(raw(part, "text")).row(part.column("key"))
+        release()
 
     return stored(narrow.mapInArrow(run, f"keys array<{key_type}>, starts binary, terms binary, bounds binary, positions binary"), "segments")
 
@@ -208,7 +210,8 @@ def _searched(index: DataFrame, queries: Queries) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for i, row in enumerate(batch.select([c for c in batch.schema.names if c != "keys"]).to_pylist()):
+            for i in range(batch.num_rows):  # one segment at a time
+                row = {c: batch.column(c)[i].as_py() for c in batch.schema.names if c != "keys"}
                 segment = Segment.of_row(row)
                 q, start = segment.phrases(shared.value)
                 lengths = (shared.value.terms >= 0).sum(axis=1)[q] if len(q) else q
@@ -221,6 +224,7 @@ def _searched(index: DataFrame, queries: Queries) -> DataFrame:
                 out = [pa.array([np.packbits(hit).tobytes()], pa.binary()), pa.array([[{"d": d, "item": x} for d, x in sorted(pairs)]], pa.list_(pa.struct([("d", pa.int64()), ("item", pa.string())])))]
                 own = batch.slice(i, 1)
                 yield pa.RecordBatch.from_arrays([*(own.column(c) for c in ("keys", "starts", "terms", "bounds", "positions")), *out], ["keys", "starts", "terms", "bounds", "positions", "hit", "pairs"])
+        release()
 
     base = [f for f in index.schema.fields if f.name not in ("hit", "pairs")]
     from pyspark.sql.types import StructType, _parse_datatype_string
