@@ -90,7 +90,38 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_near_duplicates": op10_near_duplicates,
 }
 
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = "regexp_extract_all(" + _LOWER.format("text") + ", '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+_SPACED = "regexp_extract_all(" + _LOWER.format("text") + ", '[^\\x20\\x09-\\x0D]+')"
+
+_CONTAMINATION = f"""
+WITH d AS (SELECT doc_id, coalesce({_WORDS}, []) AS w FROM documents),
+i AS (SELECT item_id, {_WORDS} AS w FROM benchmark WHERE text IS NOT NULL),
+iw AS (SELECT DISTINCT item_id, n, array_to_string(w[p + 1 : p + n], ' ') AS s FROM (SELECT item_id, w, least(13, len(w)) AS n, unnest(range(greatest(1, len(w) - 12))) AS p FROM i WHERE len(w) > 0)),
+dw AS (SELECT doc_id, n, p, array_to_string(w[p + 1 : p + n], ' ') AS s FROM (SELECT doc_id, w, n, unnest(range(greatest(0, len(w) - n + 1))) AS p FROM d CROSS JOIN (SELECT DISTINCT n FROM iw))),
+hits AS (SELECT doc_id, item_id, n, p FROM dw JOIN iw USING (n, s)),
+h AS (SELECT doc_id, count(*) AS n_hit FROM (SELECT DISTINCT doc_id, unnest(range(p, p + n)) FROM hits) GROUP BY doc_id),
+g AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS items FROM (SELECT DISTINCT doc_id, item_id FROM hits) GROUP BY doc_id)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN h USING (doc_id) LEFT JOIN g USING (doc_id)
+"""
+
+_NEAR = f"""
+WITH RECURSIVE d AS (SELECT doc_id, coalesce({_SPACED}, []) AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[p + 1 : p + 4], ' ') AS g FROM (SELECT doc_id, w, unnest(range(greatest(1, len(w) - 3))) AS p FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+both_ AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM both_ JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
+reach(a, b) AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+least_ AS (SELECT a AS doc_id, min(b) AS m FROM reach GROUP BY a)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, least(d.doc_id, coalesce(m, d.doc_id)) AS component_id, d.doc_id <= coalesce(m, d.doc_id) AS kept
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN least_ USING (doc_id)
+"""
+
 ORACLE_SQL: dict[str, str] = {
+    "op3_decontaminate": _CONTAMINATION,
+    "op10_near_duplicates": _NEAR,
     "op5_licenses": license_oracle(),
     "op7_chat": r"""
 WITH rows AS (
