@@ -2,20 +2,47 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidepool.functions.sequences import phred
+from tidepool.functions.kernels import letters
+
+
+def _summed(batches):
+    """For each batch the distinct (g, seq) with an array of their number and the summed scores of each
+    position; qualities of several lengths give a row each."""
+    for batch in batches:
+        number: dict[tuple, int] = {}
+        keys = list(zip(*(batch.column(c).to_pylist() for c in ("g", "seq"))))
+        quals = [q or "" for q in batch.column("qual").to_pylist()]
+        group = np.fromiter((number.setdefault((*k, len(q)), len(number)) for k, q in zip(keys, quals)), np.int64, len(keys))
+        found = list(number)
+        values: list = [None] * len(found)
+        size = np.fromiter((k[2] for k in found), np.int64, len(found))
+        for n in np.unique(size):
+            rows = np.flatnonzero(size[group] == n)
+            rows = rows[np.argsort(group[rows], kind="stable")]
+            first = np.flatnonzero(np.r_[True, np.diff(group[rows]) > 0])
+            scores = np.maximum(letters([quals[r] for r in rows], int(n)).astype(np.int64) - 33, 0)
+            sums = np.hstack([np.diff(np.r_[first, len(rows)])[:, None], np.add.reduceat(scores, first, axis=0) if n else np.zeros((len(first), 0), np.int64)])
+            for g, v in zip(group[rows[first]], sums):
+                values[g] = v
+        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in found], batch.schema.field("g").type), pa.array([k[1] for k in found], pa.string()), pa.array(values, pa.list_(pa.int64()))], ["g", "seq", "v"])
 
 
 def dereplicate(reads: DataFrame, by: str = "sample") -> DataFrame:
     """uniques(by, seq, cnt, qual_sum): qual_sum holds the sum of the scores at each position. Sequences
-    are compared as they are, case included. Reads with the same sequence are of the same length, so the
-    sums are one aggregation by position, partly done before the shuffle: a sequence that makes up most
-    of the reads sends one row from each task."""
-    sums = reads.select(by, "seq", F.posexplode_outer(phred(F.col("qual"))).alias("at", "q")).groupBy(by, "seq", "at").agg(F.sum("q").alias("s"), F.count("*").alias("n"))
-    gathered = sums.groupBy(by, "seq").agg(F.max("n").alias("cnt"), F.array_sort(F.collect_list(F.when(F.col("at").isNotNull(), F.struct("at", "s")))).alias("parts"))
-    return gathered.select(by, "seq", "cnt", F.transform("parts", lambda x: x["s"].cast("double")).alias("qual_sum"))
+    are compared as they are, case included; a read without qualities counts, and adds to no sum. Batches
+    are summed in numpy first, so a sequence that makes up most of the reads sends one row a batch, and
+    what is left is one aggregation by position."""
+    kind = dict(reads.dtypes)[by]
+    partial = reads.select(F.col(by).alias("g"), "seq", "qual").mapInArrow(_summed, f"g {kind}, seq string, v array<bigint>")
+    sums = partial.select("g", "seq", F.posexplode("v").alias("at", "s")).groupBy("g", "seq", "at").agg(F.sum("s").alias("s"))
+    parts = F.transform(F.array_sort(F.collect_list(F.struct("at", "s"))), lambda x: x["s"])
+    gathered = sums.groupBy("g", "seq").agg(parts.alias("v"))
+    return gathered.select(F.col("g").alias(by), "seq", F.col("v")[0].alias("cnt"), F.transform(F.slice("v", F.lit(2), F.size("v") - 1), lambda x: x.cast("double")).alias("qual_sum"))
 
 
 def counts(reads: DataFrame, by: str = "sample") -> DataFrame:

@@ -198,7 +198,7 @@ ALIASES = {"loessErrfun": "loess", "makeBinnedQualErrfun": "binned", "binnedQual
 
 def learn_errors(reads: DataFrame, config: ErrorConfig = ErrorConfig()) -> ErrorModel:
     """Learn from the first n_reads reads. `auto` chooses by the qualities; `pacbio` needs no counts."""
-    some = first_reads(reads, config.n_reads)
+    some = first_reads(reads, config.n_reads).select("sample", "rec", "seq", "qual").persist()  # read for each kind of count
     n = some.count()
     if n == 0:
         raise ValueError("no reads to learn errors from")
@@ -206,6 +206,7 @@ def learn_errors(reads: DataFrame, config: ErrorConfig = ErrorConfig()) -> Error
     if kind == "auto":
         kind = detect_platform(some).first()["kind"]
     counts = np.zeros((16, MAX_QUAL)) if kind == "pacbio" else count_matrix(transition_counts(some, config.max_dist))
+    some.unpersist()
     return ErrorModel(fit(counts, kind, config), n, kind)
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tidepool.functions.kernels import compared, differences
 from tidepool.functions.sequences import base_index, letters, phred
-from tidepool.operators.dereplicate import counts, dereplicate
+from tidepool.operators.dereplicate import dereplicate
 
 TOP = 40
 
@@ -59,8 +59,9 @@ def mismatch_counts(reads: DataFrame, max_dist: int = 8) -> DataFrame:
     """(t, o, q, w): for every pair of neighbours, at each place where they differ, the smaller of their
     numbers as evidence that t was read as o at the child's mean score (cut to a whole number, capped)."""
     whole = reads.where(F.length("seq") == F.length("qual")).withColumn("all", F.lit(1))
-    pairs = neighbours(counts(whole, "all").select(F.col("seq").alias("id"), "seq", "cnt"), max_dist)
-    children = dereplicate(whole, "all").select(F.col("seq").alias("child"), "qual_sum")
+    uniques = dereplicate(whole, "all")  # one plan for all three uses, so that its shuffle is reused
+    pairs = neighbours(uniques.select(F.col("seq").alias("id"), "seq", "cnt"), max_dist)
+    children = uniques.select(F.col("seq").alias("child"), "qual_sum")
     both = pairs.join(children, "child")
     places = F.arrays_zip(letters(F.col("parent")).alias("t"), letters(F.col("child")).alias("o"), F.col("qual_sum").alias("s"))
     at = both.select(F.least("parent_cnt", "child_cnt").alias("w"), F.col("child_cnt").alias("c_cnt"), F.explode(F.filter(places, lambda x: x["t"] != x["o"])).alias("x"))
