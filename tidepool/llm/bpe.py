@@ -186,9 +186,9 @@ class Encoder:
 
     def __init__(self, merges: Merges, block: int = BLOCK):
         self.merges, self.block, self.pattern = merges, block, regex.compile(PATTERN)
-        self.word = Memo(lambda w: pack(self._long(w.encode()) if len(w) > 256 else merges.tokens(w.encode())), 300_000)
-        self.bare = Memo(lambda p: self._pieces(p), 50_000)
-        self.spaced = Memo(lambda p: self._pieces(f" {p}"), 150_000)
+        self.word = Memo(lambda w: pack(self._long(w.encode()) if len(w) > 256 else merges.tokens(w.encode())), 80_000)
+        self.bare = Memo(lambda p: self._pieces(p), 10_000)
+        self.spaced = Memo(lambda p: self._pieces(f" {p}"), 40_000)
         self.split = ByteLevel(add_prefix_space=False, use_regex=True).pre_tokenize_str
         self._reset()
 

@@ -36,6 +36,15 @@ def using(name: str) -> None:
         _last = name
 
 
+def bounded_batches(spark: SparkSession, mb: int = 8) -> None:
+    """Let Arrow batches have some megabytes at most: rows are whole texts, and both the JVM and the worker
+    hold a batch. A smaller setting of the session's stays."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(name, None)
+    if now is None or int("".join(c for c in now if c.isdigit() or c == "-") or 0) > mb << 20 or now.startswith("-"):
+        spark.conf.set(name, f"{mb << 20}b")
+
+
 def release() -> None:
     """Give memory that a task has freed back to the system; workers live on between tasks."""
     gc.collect()
@@ -123,6 +132,7 @@ def free_name(columns: list[str], wish: str) -> str:
 def map_texts(df: DataFrame, id_col: str, text_col: str, schema: str, kernel: Callable[[pa.RecordBatch], dict], state: Callable | None = None) -> DataFrame:
     """id_col and the kernel's columns, for each row. The kernel gets slices with the columns `key` and
     `text` and returns arrays for the columns of `schema` after the key."""
+    bounded_batches(df.sparkSession)
     key_type = dict(df.dtypes)[id_col]
     narrow = df.select(F.col(f"`{id_col}`").alias("key"), F.col(f"`{text_col}`").cast("string").alias("text"))
     names = ["key", *(x.split()[0] for x in schema.split(", "))]
@@ -144,6 +154,7 @@ def map_texts(df: DataFrame, id_col: str, text_col: str, schema: str, kernel: Ca
 def annotate(df: DataFrame, text_col: str, schema: str, kernel: Callable[[pa.RecordBatch], dict]) -> tuple[DataFrame, str]:
     """All columns of df and one struct column with the kernel's results, under a name that clashes with
     none; the name comes back too. The kernel gets slices whose column `text` holds the text."""
+    bounded_batches(df.sparkSession)
     name = free_name(df.columns, "annotation")
     names = [x.split()[0] for x in schema.split(", ")]
     at = df.columns.index(text_col)

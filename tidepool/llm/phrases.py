@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidepool.llm.common import drop_stored, raw, release, slices, stored, using
+from tidepool.llm.common import bounded_batches, drop_stored, raw, release, slices, stored, using
 
 #: Bytes of text in a segment, and of query text that is broadcast at a time.
 SEGMENT_BYTES, BLOCK_BYTES = 2 << 20, 8 << 20
@@ -190,6 +190,7 @@ def query_blocks(items: DataFrame, id_col: str, text_col: str, n: int, block_byt
 
 def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", segment_bytes: int = SEGMENT_BYTES) -> DataFrame:
     """Write the postings of every word of every whole text; a row for each segment."""
+    bounded_batches(docs.sparkSession)
     key_type = dict(docs.dtypes)[id_col]
     narrow = docs.select(F.col(f"`{id_col}`").alias("key"), F.col(f"`{text_col}`").cast("string").alias("text"))
 
