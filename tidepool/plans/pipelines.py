@@ -44,7 +44,8 @@ def single(reads: DataFrame, config: PipelineConfig = PipelineConfig(), model: E
     """(seq, abundance) over all samples: filter, learn, denoise each sample, sum by sequence, remove
     chimeras."""
     kept = filter_reads(reads, config.fwd).persist()  # read once to learn from and once to denoise
-    asvs = _DENOISERS[config.pool](dereplicate(kept), model or _learn(kept, config), config.denoise)
+    # Variants are few; chimeras are sought by joining them with themselves, so they are made once.
+    asvs = _DENOISERS[config.pool](dereplicate(kept), model or _learn(kept, config), config.denoise).persist()
     if config.chimeras_first:
         rows = asvs.select(F.lit(1).alias("all"), F.concat("sample", F.lit("/"), "seq").alias("id"), "seq", "abundance")
         return remove_chimeras(rows, "all").groupBy("seq").agg(F.sum("abundance").alias("abundance"))
@@ -56,15 +57,14 @@ def samples(fwd: DataFrame, rev: DataFrame | None = None, config: PipelineConfig
     remove each sample's chimeras."""
     if rev is None:
         kept = filter_reads(fwd, config.fwd).persist()
-        asvs = _DENOISERS[config.pool](dereplicate(kept), model or _learn(kept, config), config.denoise)
-        return remove_chimeras(asvs)
+        return remove_chimeras(_DENOISERS[config.pool](dereplicate(kept), model or _learn(kept, config), config.denoise).persist())
     pairs = filter_pairs(fwd, rev, config.fwd, config.rev).persist()
     side = lambda s: pairs.select("sample", "rec", F.col(f"{s}_seq").alias("seq"), F.col(f"{s}_qual").alias("qual"))
     model = model or _learn(side("fwd"), config)
     other = _learn(side("rev"), config) if config.separate_errors else model
     run = _DENOISERS[config.pool]
     merged = merge_pairs(run(dereplicate(side("fwd")), model, config.denoise), run(dereplicate(side("rev")), other, config.denoise), config.merge)
-    return remove_chimeras(merged.groupBy("sample", "seq").agg(F.sum("abundance").alias("abundance")))
+    return remove_chimeras(merged.groupBy("sample", "seq").agg(F.sum("abundance").alias("abundance")).persist())
 
 
 def run_pipeline(spark: SparkSession, paths: list[str], output_dir: str | None = None, trunc_len: int = 0, max_ee: float = 2.0, omega_a: float = 1e-40) -> dict[str, int]:

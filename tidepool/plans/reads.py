@@ -3,10 +3,12 @@ into consecutive pieces. Everything is computed from whole numbers, so that SQL
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidepool.functions.sequences import quality_string, reverse_complement
+from tidepool.functions.sequences import reverse_complement
 
 ALPHABET, AS_BASES = "abcdefghijklmnopqrstuvwxyz", "ACGTACGTACGTACGTACGTACGTAC"
 READ, AMPLICON = 60, 100
@@ -26,26 +28,48 @@ def bases(raw: Column) -> Column:
     return F.translate(raw, ALPHABET, AS_BASES)
 
 
-def scores(raw: Column, doc_id: Column, offset: int = 0, levels: int = 41) -> Column:
-    """offset + (letter's code * 7 + place * 3 + doc_id) % levels, places from 1."""
-    letters = F.filter(F.split(raw, ""), lambda c: c != "")
-    return F.transform(letters, lambda c, i: (F.lit(offset) + (F.ascii(c) * 7 + (i + 1) * 3 + doc_id) % levels).cast("int"))
+_TO_BASE = bytes(AS_BASES[ALPHABET.index(chr(b))].encode()[0] if chr(b) in ALPHABET else b for b in range(256))
+_TURNED = bytes.maketrans(b"ACGT", b"TGCA")
+_READ = "sample string, mate int, rec bigint, id string, seq string, qual string"
 
 
-def _read(df: DataFrame, raw: Column, mate: int, seq: Column, offset: int, levels: int) -> DataFrame:
-    return df.select("sample", F.lit(mate).alias("mate"), "rec", F.concat(F.lit("r"), F.col("rec").cast("string")).alias("id"), seq.alias("seq"), quality_string(scores(raw, F.col("doc_id"), offset, levels)).alias("qual"))
+def _rows(samples, mate: int, rec: np.ndarray, prefix: str, seqs: list[str], quals: list[str]) -> pa.RecordBatch:
+    ids = [f"{prefix}{r}" for r in rec.tolist()]
+    return pa.RecordBatch.from_arrays([samples, pa.array(np.full(len(ids), mate, np.int32)), pa.array(rec), *(pa.array(x, pa.string()) for x in (ids, seqs, quals))], [c.split()[0] for c in _READ.split(", ")])
+
+
+def _read(df: DataFrame, first: int, size: int, mate: int, offset: int, levels: int) -> DataFrame:
+    """Reads of letters [first, first + size) of `raw`, turned for mate 2. A base's score is offset + (its
+    letter's code * 7 + its place * 3 + doc_id) % levels, places from 1."""
+
+    def run(batches):
+        for batch in batches:
+            raw = [x[first : first + size] for x in batch.column("raw").to_pylist()]
+            if mate == 2:
+                raw = [x[::-1] for x in raw]
+            doc = batch.column("doc_id").to_numpy()
+            lens = np.fromiter(map(len, raw), np.int64, len(raw))
+            code = np.frombuffer("".join(raw).encode(), np.uint8).astype(np.int64)
+            place = np.arange(len(code)) - np.repeat(np.cumsum(lens) - lens, lens) + 1
+            score = offset + (code * 7 + place * 3 + np.repeat(doc, lens)) % levels
+            quals, ends = (score + 33).astype(np.uint8).tobytes().decode(), np.cumsum(lens).tolist()
+            seqs = [x.encode().translate(_TO_BASE) for x in raw]
+            if mate == 2:
+                seqs = [x.translate(_TURNED) for x in seqs]
+            yield _rows(batch.column("sample"), mate, batch.column("rec").to_numpy(), "r", [x.decode() for x in seqs], [quals[e - n : e] for e, n in zip(ends, lens.tolist())])
+
+    return df.select("sample", "rec", "doc_id", "raw").mapInArrow(run, _READ)
 
 
 def reads(spark: SparkSession, sf_dir: str, offset: int = 0, levels: int = 41) -> DataFrame:
     """reads(sample, mate, rec, id, seq, qual) of 60 bases."""
-    return _read(pieces(spark, sf_dir, READ), F.col("raw"), 1, bases(F.col("raw")), offset, levels)
+    return _read(pieces(spark, sf_dir, READ), 0, READ, 1, offset, levels)
 
 
 def mates(spark: SparkSession, sf_dir: str, offset: int = 20, levels: int = 21) -> tuple[DataFrame, DataFrame]:
     """Both mates of amplicons of 100 bases: the first 60, and the last 60 turned; they share 20."""
     cut = pieces(spark, sf_dir, AMPLICON).where(F.length("raw") == AMPLICON)
-    head, tail = F.substring("raw", 1, READ), F.substring("raw", AMPLICON - READ + 1, READ)
-    return _read(cut, head, 1, bases(head), offset, levels), _read(cut, F.reverse(tail), 2, reverse_complement(bases(tail)), offset, levels)
+    return _read(cut, 0, READ, 1, offset, levels), _read(cut, AMPLICON - READ, READ, 2, offset, levels)
 
 
 def references(spark: SparkSession, sf_dir: str, size: int = 200) -> DataFrame:
@@ -83,10 +107,21 @@ def amplicons(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
     template = "CASE " + " ".join(f"WHEN share < {s} THEN {v}" for v, s in enumerate(SHARES)) + " END"
     rows = rows.selectExpr("sample", "o * 8 + n AS rec", "o", "(o * 31 + n * 17) % 240 AS wrong", f"{template} AS v")
-    code = f"cast(((CASE WHEN v < 11 THEN v WHEN i < 30 THEN 0 ELSE 1 END) + 1L) * (i + 1) * {_FACTOR} div 65536 % 4 AS int)"
-    letters = f"transform(sequence(0, 59), i -> substr('ACGTACGT', {code} + 1 + CASE WHEN i = wrong THEN 1 + cast(o % 3 AS int) ELSE 0 END, 1))"
-    scores_ = "transform(sequence(0, 59), i -> char(33 + CASE WHEN i = wrong THEN 12 ELSE 30 + (i * 7 + o) % 8 END))"
-    return rows.selectExpr("sample", "1 AS mate", "rec", "concat('a', rec) AS id", f"array_join({letters}, '') AS seq", f"array_join({scores_}, '') AS qual")
+    i = np.arange(60)
+    templates = np.stack([(np.where(v < 11, v, i >= 30).astype(np.int64) + 1) * (i + 1) * _FACTOR // 65536 % 4 for v in range(len(SHARES))])
+    letters = np.frombuffer(b"ACGT", np.uint8)
+
+    def run(batches):
+        for batch in batches:
+            v, o, wrong = (batch.column(c).to_numpy().astype(np.int64) for c in ("v", "o", "wrong"))
+            code, score = templates[v], 30 + (i[None] * 7 + o[:, None]) % 8
+            bad = np.flatnonzero(wrong < 60)
+            code[bad, wrong[bad]] = (code[bad, wrong[bad]] + 1 + o[bad] % 3) % 4
+            score[bad, wrong[bad]] = 12
+            text = lambda x: np.ascontiguousarray(x.astype(np.uint8)).view("S60")[:, 0].astype(str).tolist()
+            yield _rows(batch.column("sample"), 1, batch.column("rec").to_numpy(), "a", text(letters[code]), text(score + 33))
+
+    return rows.mapInArrow(run, _READ)
 
 
 def amplicon_mates(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
