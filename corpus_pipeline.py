@@ -48,7 +48,7 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids (packed, with their digest) and the digest of the decoded text."""
-    return bpe_encode(docs, public_tokenizers.path("byte_bpe_50k.json"), columns=("ids", "ids_sha256", "decoded_sha256"))
+    return bpe_encode(docs, public_tokenizers.path("byte_bpe_50k.json"), columns=("ids", "ids_sha256", "decoded_sha256"), memo=80_000)
 
 
 STAGES = [("quality", quality), ("language", language), ("near_copies", near_copies), ("decontaminated", decontaminated), ("encoded", encoded)]

@@ -31,8 +31,9 @@ from tidepool.llm.common import CACHES, map_texts, strings
 # Fixed value: the pre-tokenizer pattern of the byte-level vocabulary, as public_tokenizers.PATTERN has it.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
-#: Characters that a feed works on at a time, and the longest piece that a memo keeps.
-BLOCK, MEMO_CHARS = 1 << 16, 64
+#: Characters that a feed works on at a time, the longest piece that a memo keeps, and the words in each of
+#: its two generations: more of them cost memory (some 150 MB a worker for these) and save time.
+BLOCK, MEMO_CHARS, MEMO = 1 << 16, 64, 300_000
 
 
 def byte_alphabet() -> list[str]:
@@ -184,11 +185,11 @@ class Encoder:
     other white space, or without such blanks, go through the pattern match by match.
     """
 
-    def __init__(self, merges: Merges, block: int = BLOCK):
+    def __init__(self, merges: Merges, block: int = BLOCK, memo: int = MEMO):
         self.merges, self.block, self.pattern = merges, block, regex.compile(PATTERN)
-        self.word = Memo(lambda w: pack(self._long(w.encode()) if len(w) > 256 else merges.tokens(w.encode())), 80_000)
-        self.bare = Memo(lambda p: self._pieces(p), 10_000)
-        self.spaced = Memo(lambda p: self._pieces(f" {p}"), 40_000)
+        self.word = Memo(lambda w: pack(self._long(w.encode()) if len(w) > 256 else merges.tokens(w.encode())), memo)
+        self.bare = Memo(lambda p: self._pieces(p), memo // 8)
+        self.spaced = Memo(lambda p: self._pieces(f" {p}"), memo // 2)
         self.split = ByteLevel(add_prefix_space=False, use_regex=True).pre_tokenize_str
         self._reset()
 
@@ -302,15 +303,15 @@ class Decoder:
         return out
 
 
-_ENCODERS: dict[bytes, Encoder] = {}
+_ENCODERS: dict[tuple[bytes, int], Encoder] = {}
 CACHES[__name__] = _ENCODERS.clear
 
 
-def encoder_of(data: bytes) -> Encoder:
+def encoder_of(data: bytes, memo: int = MEMO) -> Encoder:
     """One encoder for each vocabulary and Python worker; its memos stay warm between tasks."""
-    key = hashlib.sha256(data).digest()
+    key = hashlib.sha256(data).digest(), memo
     if key not in _ENCODERS:
-        _ENCODERS[key] = Encoder(Merges(data))
+        _ENCODERS[key] = Encoder(Merges(data), memo=memo)
     return _ENCODERS[key]
 
 
@@ -325,12 +326,12 @@ def decoded_parts(merges: Merges, packed: bytes, block: int = BLOCK) -> Iterator
 COLUMNS = {"ids": pa.binary(), "decoded": pa.string(), "ids_sha256": pa.string(), "decoded_sha256": pa.string()}
 
 
-def bpe_encode(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", columns: tuple[str, ...] = ("ids", "decoded")) -> DataFrame:
+def bpe_encode(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", columns: tuple[str, ...] = ("ids", "decoded"), memo: int = MEMO) -> DataFrame:
     """Encode every whole text and decode it again.
 
     Returns id_col, n_tokens and the wished columns: ids (packed little-endian 32-bit), decoded, and the
     SHA-256 of either. vocabulary: path of a byte-level tokenizers JSON file, read on the driver and
-    broadcast (a file over 64 MB is refused). Null and empty texts have no tokens; repeated rows each
+    broadcast (a file over 64 MB is refused). memo: words that a worker remembers. Null and empty texts have no tokens; repeated rows each
     give a row; other columns of df are ignored, whatever their names; an empty table gives an empty one.
     """
     with open(vocabulary, "rb") as f:
@@ -340,7 +341,7 @@ def bpe_encode(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col:
     shared = df.sparkSession.sparkContext.broadcast(data)
 
     def kernel(part: pa.RecordBatch) -> dict:
-        encoder = encoder_of(shared.value)
+        encoder = encoder_of(shared.value, memo)
         out: dict[str, list] = {c: [] for c in ("n_tokens", *columns)}
         for text in strings(part, "text"):
             packed = encoder.encode(text)
