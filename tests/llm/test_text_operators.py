@@ -440,6 +440,17 @@ def test_super_minhash_estimates():
         assert abs(np.mean(est) - common / (2 * n - common)) < 0.02
 
 
+@pytest.mark.parametrize("small, large", [(12, 15), (16, 20), (16, 18), (24, 30), (9, 10)])
+def test_short_texts_share_bands(small, large):
+    rng = np.random.default_rng(1)
+    for _ in range(60):
+        u = rng.integers(0, 2**63, large).astype(np.uint64)
+        s = neardup.super_minhash([np.sort(u[:small]), np.sort(u)], 720)
+        assert abs((s[0] == s[1]).mean() - small / large) < 0.1
+        a, b = neardup.band_hashes(s, 8)
+        assert (a == b).any()
+
+
 def test_components_of_a_chain(spark):
     chain = [(i, i + 1) for i in range(300)] + [(1000, 1001), (5, 5)]
     got = {r["node"]: r["component"] for r in neardup.components(spark.createDataFrame(chain, "a long, b long").repartition(7)).collect()}

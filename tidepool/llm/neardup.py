@@ -22,8 +22,6 @@ from tidepool.llm.common import CACHES, drop_stored, map_texts, raw, stored
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _GOLD, _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-#: A signature value is a rank, then this many bits of the random part.
-_RANDOM = 24
 #: Elements whose permutations are held at a time.
 _CHUNK = 1 << 13
 
@@ -86,6 +84,8 @@ def super_minhash(sets: list[np.ndarray], m: int) -> np.ndarray:
 
 def _draw(out: np.ndarray, elements: np.ndarray, owner: np.ndarray, m: int) -> None:
     flat = out.reshape(-1)
+    random = np.uint32(32 - (m - 1).bit_length())  # a value is a rank below m, then this many random bits
+    mask = (np.uint64(1) << np.uint64(random)) - np.uint64(1)
     places = np.tile(np.arange(m, dtype=np.uint16), (len(elements), 1))
     live = np.arange(len(elements))
     for j in range(m):
@@ -94,10 +94,10 @@ def _draw(out: np.ndarray, elements: np.ndarray, owner: np.ndarray, m: int) -> N
         k = j + ((draw >> np.uint64(32)) * np.uint64(m - j) >> np.uint64(32)).astype(np.int64)
         place = places[live, k].astype(np.int64)
         places[live, k] = places[live, j]
-        value = (np.uint32(j) << np.uint32(_RANDOM)) | (draw & np.uint64((1 << _RANDOM) - 1)).astype(np.uint32)
+        value = (np.uint32(j) << random) | (draw & mask).astype(np.uint32)
         np.minimum.at(flat, owner[live] * m + place, value)
         now = np.unique(owner[live])
-        going = now[out[now].max(axis=1) >= np.uint32(j + 1) << np.uint32(_RANDOM)] if j + 1 < m else now[:0]
+        going = now[out[now].max(axis=1) >= np.uint32(j + 1) << random] if j + 1 < m else now[:0]
         if len(going) < len(now):
             if not len(going):
                 return
