@@ -6,8 +6,9 @@ import json
 import numpy as np
 import pytest
 
-from tidepool.operators import dereplicate
+from tidepool.operators import dereplicate, errors
 from tidepool.operators.denoise import DenoiseConfig
+from tidepool.operators.error_fit import ErrorConfig
 from tidepool.operators.filtering import FilterConfig
 from tidepool.plans import pipelines
 from tidepool.sources import fasta, fastq
@@ -83,6 +84,16 @@ def test_pipeline_finds_the_truth(spark, tmp_path):
     assert set(per) == {"s0_0", "s1_1"} and {bytes.fromhex(h).decode() for v in per.values() for h in v} == set(truth)
 
 
+def test_errors_are_learned_from_whole_samples(spark):
+    """Records numbered with gaps, as filtered reads are: a sample within the limit is used whole."""
+    rows = [(s, i * 8 + 1000, "ACGTACGTAC", "I" * 10) for s, n in (("a", 30), ("b", 50)) for i in range(n)]
+    reads = spark.createDataFrame(rows, "sample string, rec bigint, seq string, qual string")
+    used = lambda n: pipelines._learn(reads, pipelines.PipelineConfig(errors=ErrorConfig(n_reads=n, method="loess"), least_reads=5)).n_reads
+    assert used(100) == 80 and used(80) == 30 + 40 and used(20) == 20
+    cut = errors.first_of_each(reads, 40).groupBy("sample").agg({"rec": "max", "*": "count"}).toDF("sample", "last", "n")
+    assert {tuple(sorted(r.asDict().items())) for r in cut.collect()} == {(("last", 1000 + 8 * 29), ("n", 30), ("sample", "a")), (("last", 1000 + 8 * 39), ("n", 40), ("sample", "b"))}
+
+
 def test_paired_pipeline(spark, tmp_path):
     truth, rows = simulated(np.random.default_rng(8))
     turn = str.maketrans("ACGT", "TGCA")

@@ -90,3 +90,10 @@ def first_reads(reads: DataFrame, n: int) -> DataFrame:
     part = reads.join(F.broadcast(quota.where("quota > 0 and quota < size")), "sample")
     cut = part.withColumn("_r", F.row_number().over(Window.partitionBy("sample").orderBy("rec"))).where("_r <= quota").select(reads.columns)
     return whole.select(reads.columns).union(cut)
+
+
+def first_of_each(reads: DataFrame, n: int) -> DataFrame:
+    """The first n reads of each sample by record. Samples of no more are taken whole, without sorting."""
+    large = F.broadcast(reads.groupBy("sample").agg(F.count("*").alias("size")).where(F.col("size") > n).select("sample"))
+    cut = reads.join(large, "sample", "left_semi").withColumn("_r", F.row_number().over(Window.partitionBy("sample").orderBy("rec"))).where(F.col("_r") <= n)
+    return reads.join(large, "sample", "left_anti").select(reads.columns).union(cut.select(reads.columns))

@@ -13,6 +13,7 @@ from tidepool.operators.chimera import remove_chimeras
 from tidepool.operators.denoise import DenoiseConfig, denoise, denoise_pooled, denoise_pseudo
 from tidepool.operators.dereplicate import dereplicate
 from tidepool.operators.error_fit import ErrorConfig, ErrorModel, learn_errors
+from tidepool.operators.errors import first_of_each
 from tidepool.operators.filtering import FilterConfig, filter_pairs, filter_reads
 from tidepool.operators.merge import MergeConfig, merge_pairs
 from tidepool.sources.fastq import per_file, read_fastq, stem, write_fastq
@@ -37,7 +38,8 @@ _DENOISERS = {"many": denoise, "pseudo": denoise_pseudo, "pooled": denoise_poole
 def _learn(reads: DataFrame, config: PipelineConfig) -> ErrorModel:
     n = reads.select("sample").distinct().count()
     most = per_file(config.errors.n_reads, n, config.least_reads)
-    return learn_errors(reads.where(F.col("rec") < most) if config.errors.n_reads else reads, config.errors)
+    # A record's number may have gaps and need not count its sample's reads, so reads are counted.
+    return learn_errors(first_of_each(reads, most) if config.errors.n_reads else reads, config.errors)
 
 
 def single(reads: DataFrame, config: PipelineConfig = PipelineConfig(), model: ErrorModel | None = None) -> DataFrame:
