@@ -458,6 +458,13 @@ def test_components_of_a_chain(spark):
     assert neardup.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_near_duplicates_of_an_id_with_two_texts(spark):
+    one, two = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    rows = [(1, one), (2, one), (2, two), (3, two + " end"), (4, one), (5, "c"), (6, "c")]
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["component_id"]) for r in got) == [(1, 1), (2, 1), (2, 1), (3, 1), (4, 1), (5, 5), (6, 5)]
+
+
 def test_near_duplicates_odd_rows(spark):
     got = neardup.near_duplicates(odd(spark)).collect()
     assert len(got) == 6 and all(r["kept"] for r in got) and {r["n_shingles"] for r in got if r["doc_id"] in (1, 2)} == {0}

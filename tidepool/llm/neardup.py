@@ -286,13 +286,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     signed = stored(_signed(docs, "node", "text", n, bands, rows), "signatures")
     some = signed.where("words is not null and node is not null")
     copies = stored(some.groupBy("words").agg(F.min("node").alias("rep"), F.max("node").alias("last")).where("last > rep").select("words", "rep"), "copies")
-    folded = stored(some.select("words", "node").join(copies, "words").where("node <> rep").select("node", "rep").distinct(), "folded")
+    every = stored(some.select("words", "node").join(copies, "words").where("node <> rep").distinct(), "folded")
+    # An id with several texts keeps its others; its folds are links like those that are found by comparing.
+    several = stored(some.groupBy("node").agg(F.min("words").alias("least"), F.max("words").alias("most")).where("least <> most").select("node"), "several")
+    folded = every.join(several, "node", "left_anti").select("node", "rep")
+    folds = every.join(several, "node", "left_semi").select(F.col("node").alias("a"), F.col("rep").alias("b"))
 
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    candidates = components(_band_edges(some.join(folded, "node", "left_anti"), parts))
+    candidates = components(_band_edges(some.join(every, ["node", "words"], "left_anti"), parts))
     units = candidates.toDF("node", "unit")
     units = stored(units.union(units.select("unit", "unit").distinct()), "units")
-    found = components(stored(_links(docs, units, n, percent, parts), "links"))
+    found = components(stored(_links(docs, units, n, percent, parts), "links").union(folds))
 
     out = signed.select("node", "n_shingles").join(folded, "node", "left").withColumn("text_node", F.coalesce("rep", "node"))
     out = out.join(found.select(F.col("node").alias("text_node"), "component"), "text_node", "left")
