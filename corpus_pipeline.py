@@ -16,9 +16,10 @@ from tidepool.llm.common import remainder, stored, table
 from tidepool.llm.neardup import near_duplicates
 from tidepool.llm.phrases import decontaminate
 
-#: Languages are told apart by letters; a document is rejected if it has none or lies as near to another
-#: language as to its own.
-LEAST_SCORE = 0.5
+#: Languages are told apart by letters; a document is rejected if it has none or lies exactly as near to
+#: another language as to its own, as one in letters that no language has. No score is below a tie's, and
+#: letters in disorder mostly lie a little nearer to some language, which keeps them.
+TIE = 0.5
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,7 +31,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in one of the learned languages."""
     told, at = langid.identify(docs, langid.fit(docs.where(remainder("doc_id", 5) != 0)))
-    return told.where((F.col(f"`{at}`.lang_pred") != langid.UNKNOWN) & (F.col(f"`{at}`.score") >= LEAST_SCORE)).drop(at)
+    return told.where((F.col(f"`{at}`.lang_pred") != langid.UNKNOWN) & (F.col(f"`{at}`.score") > TIE)).drop(at)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -55,3 +55,9 @@ def test_stages_on_odd_rows(spark):
     for df in (odd, odd.where("false")):
         for name, stage in corpus_pipeline.STAGES:
             stage(spark, df, DIR).collect()
+
+
+def test_language_ties_are_rejected(spark):
+    rows = [(i, "the cat sat on the mat and the dog ran", "en") for i in range(5)] + [(i + 5, "le chat est sur la table et le chien court", "fr") for i in range(5)]
+    docs = spark.createDataFrame([*rows, (20, "\u4f60\u597d \u4e16\u754c", None), (21, "12 34", None)], "doc_id long, text string, lang string")
+    assert {r["doc_id"] for r in corpus_pipeline.language(spark, docs, DIR).collect()} == set(range(10))
