@@ -42,9 +42,12 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without enough of any benchmark item."""
-    gone = stored(decontaminate(docs, table(spark, sf_dir, "benchmark")).where("contaminated").select("doc_id").distinct(), "gone")
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """Documents without enough of any benchmark item. The verdict rests on the text alone and is joined by
+    its hash, so each row has its own, whether its id is null or stands on other rows too."""
+    digest = F.unhex(F.sha2(F.col("text").cast("string"), 256))
+    judged = decontaminate(docs.select(digest.alias("digest"), "text"), table(spark, sf_dir, "benchmark"), id_col="digest")
+    gone = stored(judged.where("contaminated").select("digest").distinct(), "gone")
+    return docs.join(gone, digest == gone["digest"], "left_anti").select(docs.columns)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -61,3 +61,11 @@ def test_language_ties_are_rejected(spark):
     rows = [(i, "the cat sat on the mat and the dog ran", "en") for i in range(5)] + [(i + 5, "le chat est sur la table et le chien court", "fr") for i in range(5)]
     docs = spark.createDataFrame([*rows, (20, "\u4f60\u597d \u4e16\u754c", None), (21, "12 34", None)], "doc_id long, text string, lang string")
     assert {r["doc_id"] for r in corpus_pipeline.language(spark, docs, DIR).collect()} == set(range(10))
+
+
+def test_contaminated_rows_go_whatever_their_id(spark):
+    item = table(spark, DIR, "benchmark").where("size(split(text, ' ')) > 20").first()["text"]
+    rows = [(None, item), (None, "clean words"), (7, item), (7, "other clean words"), (8, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r["doc_id"], r["text"]) for r in corpus_pipeline.decontaminated(spark, docs, DIR).collect()}
+    assert got == {(None, "clean words"), (7, "other clean words"), (8, None)}
