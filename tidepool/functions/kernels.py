@@ -10,7 +10,9 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType, _parse_datatype_string
 
 #: Letters that are compared at a time.
@@ -67,6 +69,70 @@ def compared(df: DataFrame, a: str, b: str, schema: str, compare: Callable[[np.n
     return df.mapInArrow(run, StructType([*keep, *added.fields]))
 
 
-def hamming_within(x: np.ndarray, y: np.ndarray, low: int, high: int) -> dict:
-    dist = differences(x, y).sum(axis=1)
-    return {"dist": dist, "valid": (dist >= low) & (dist <= high)}
+def codes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(codes of the letters of all strings, one after the other; number of letters of each). A null string
+    is empty. Strings of ASCII letters are read where they lie, without making Python objects."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    column = pc.fill_null(column, "").cast(pa.large_string())
+    ends = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    if not len(column) or ends[-1] == ends[0]:
+        return np.zeros(0, np.uint8), np.zeros(len(column), np.int64)
+    data = np.frombuffer(column.buffers()[2], np.uint8)[ends[0] : ends[-1]]
+    if data.max() < 128:
+        return data, np.diff(ends)
+    texts = column.to_pylist()
+    return np.frombuffer("".join(texts).encode("utf-32-le"), "<u4"), np.fromiter(map(len, texts), np.int64, len(texts))
+
+
+def text_of(data: np.ndarray, lens: np.ndarray) -> pa.Array:
+    """The strings that stand one after the other in ASCII codes."""
+    offsets = np.r_[0, np.cumsum(lens)].astype(np.int32)
+    return pa.StringArray.from_buffers(len(lens), pa.py_buffer(offsets.tobytes()), pa.py_buffer(np.ascontiguousarray(data, np.uint8).tobytes()))
+
+
+def rows_of(lens: np.ndarray, cells: int = _CELLS) -> Iterator[tuple[int, int]]:
+    """Runs of rows whose matrix, as wide as the longest of them, has at most `cells` cells, or one row."""
+    at = 0
+    while at < len(lens):
+        width = np.maximum.accumulate(np.maximum(lens[at : at + cells], 1))
+        n = max(1, int(np.searchsorted(width * np.arange(1, len(width) + 1), cells, side="right")))
+        yield at, min(at + n, len(lens))
+        at += n
+
+
+def padded(data: np.ndarray, lens: np.ndarray, fill: int) -> tuple[np.ndarray, np.ndarray]:
+    """(matrix with a row for each string, filled up at its end; which cells are letters)."""
+    width = int(lens.max(initial=0))
+    inside = np.arange(width)[None] < lens[:, None]
+    if inside.all():
+        return data.reshape(len(lens), width), inside
+    out = np.full(inside.shape, fill, data.dtype)
+    out[inside] = data
+    return out, inside
+
+
+def matrices(column: pa.Array, fill: int = 0, cells: int = _CELLS) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, end, matrix, which cells are letters) of a batch's strings, in parts of bounded size."""
+    data, lens = codes(column)
+    ends = np.r_[0, np.cumsum(lens)]
+    for i, j in rows_of(lens, cells):
+        yield (i, j, *padded(data[ends[i] : ends[j]], lens[i:j], fill))
+
+
+def histogram(df: DataFrame, schema: str, sizes: tuple[int, ...], place: Callable) -> DataFrame:
+    """Counts (schema, n) of numbered cells, summed. `place` gives for a batch the numbers of its cells in a
+    table of these sizes; a task sends one row for each cell that it has met, so what is shuffled is
+    bounded by the table and not by the rows."""
+    names = [x.split()[0] for x in schema.split(", ")]
+
+    def run(batches):
+        total = np.zeros(int(np.prod(sizes)), np.int64)
+        for batch in batches:
+            for at in place(batch):
+                total += np.bincount(at, minlength=len(total))
+        found = np.flatnonzero(total)
+        at = np.unravel_index(found, sizes)
+        yield pa.RecordBatch.from_arrays([*(pa.array(x.astype(np.int32)) for x in at), pa.array(total[found])], [*names, "n"])
+
+    return df.mapInArrow(run, f"{schema}, n bigint").groupBy(*names).agg(F.sum("n").alias("n"))

@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType, _parse_datatype_string
 
-from tidepool.functions.sequences import expected_errors, phred
+from tidepool.functions.kernels import matrices
+
+#: Probability of a wrong base at each score; beyond these it is below every sum's last digit.
+_PROBABILITY = 10.0 ** (-np.arange(256) / 10.0)
 
 
 @dataclass(frozen=True)
@@ -29,26 +37,44 @@ def trimmed(reads: DataFrame, config: FilterConfig) -> DataFrame:
     first base with a score of trunc_q or less, reads shorter than trunc_len are dropped and longer ones
     cut, reads shorter than min_len are dropped, and those with more than max_ee expected errors. A read
     whose qualities are missing has no score to end at and no expected errors.
+
+    One pass over Arrow batches: errors are running sums along each read, in its order, so that every trim
+    is made once, whatever is filtered or chosen later.
     """
     c = config
-    size = F.length("seq")
-    inner = F.greatest(size - c.trim_left - c.trim_right, F.lit(0))
-    cuts = F.lit(True)
-    if c.trim_left > 0:
-        cuts = cuts & (size > c.trim_left)
-    if c.trim_right > 0:
-        cuts = cuts & (size - c.trim_left > c.trim_right)
-    out = reads.withColumn("_q", phred(F.substring("qual", F.lit(c.trim_left + 1), inner)))
-    low = F.array_position(F.transform("_q", lambda q: q <= c.trunc_q), True)
-    out = out.withColumn("len", F.when(low > 0, low.cast("int") - 1).otherwise(inner))
-    long_enough = F.lit(True)
-    if c.trunc_len > 0:
-        long_enough = F.col("len") >= c.trunc_len
-        out = out.withColumn("_long", long_enough).withColumn("len", F.least("len", F.lit(c.trunc_len)))
-        long_enough = F.col("_long")
-    out = out.withColumn("ee", expected_errors(F.slice("_q", F.lit(1), F.col("len"))))
-    passes = cuts & long_enough & (F.col("len") >= c.min_len) & (F.col("ee") <= c.max_ee)
-    return out.withColumn("start", F.lit(c.trim_left)).withColumn("passes", passes).drop("_q", "_long")
+    added = _parse_datatype_string("start int, len int, ee double, passes boolean")
+
+    def judge(size: np.ndarray, qual: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        for i, j, score, inside in matrices(qual, fill=33):
+            inner = np.maximum(size[i:j] - c.trim_left - c.trim_right, 0)
+            score = np.maximum(score.astype(np.int64) - 33, 0)[:, c.trim_left :]
+            inside = inside[:, c.trim_left :] & (np.arange(score.shape[1])[None] < inner[:, None])
+            low = (score <= c.trunc_q) & inside
+            length = np.where(low.any(axis=1), low.argmax(axis=1) if low.shape[1] else 0, inner)
+            passes = np.ones(j - i, bool)
+            if c.trim_left > 0:
+                passes &= size[i:j] > c.trim_left
+            if c.trim_right > 0:
+                passes &= size[i:j] - c.trim_left > c.trim_right
+            if c.trunc_len > 0:
+                passes &= length >= c.trunc_len
+                length = np.minimum(length, c.trunc_len)
+            errors = np.where(inside, _PROBABILITY[np.minimum(score, len(_PROBABILITY) - 1)], 0.0)
+            sums = np.hstack([np.zeros((j - i, 1)), np.cumsum(errors, axis=1)])
+            ee = np.take_along_axis(sums, np.minimum(length, sums.shape[1] - 1)[:, None], 1)[:, 0]
+            yield length, ee, passes & (length >= c.min_len) & (ee <= c.max_ee)
+
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            size = pc.fill_null(pc.utf8_length(batch.column("seq")), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            length, ee, passes = (np.concatenate(x) for x in zip(*judge(size, batch.column("qual"))))
+            more = [pa.array(np.full(batch.num_rows, c.trim_left, np.int32)), pa.array(length.astype(np.int32)), pa.array(ee), pa.array(passes)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *more], names)
+
+    names = [*reads.columns, *added.names]
+    return reads.mapInArrow(run, StructType([*reads.schema.fields, *added.fields]))
 
 
 def cut(column: str) -> Column:
@@ -70,19 +96,14 @@ def filter_stats(reads: DataFrame, config: FilterConfig = FilterConfig()) -> Dat
     return trimmed(reads, config).groupBy("sample").agg(F.count("*").alias("reads_in"), F.count_if("passes").alias("reads_out"))
 
 
-def check_mates(fwd: DataFrame, rev: DataFrame) -> None:
-    """Fail where a sample's mates differ in number. Only counts of records are read for this."""
-    n = lambda df, name: df.groupBy("sample").agg(F.count("*").alias(name))
-    wrong = n(fwd, "f").join(n(rev, "r"), "sample", "full").where(~F.col("f").eqNullSafe(F.col("r"))).limit(1).collect()
-    if wrong:
-        raise ValueError(f"sample {wrong[0]['sample']}: mates differ in number, {wrong[0]['f'] or 0} and {wrong[0]['r'] or 0}")
-
-
 def paired(fwd: DataFrame, rev: DataFrame, fwd_config: FilterConfig, rev_config: FilterConfig) -> DataFrame:
-    """Mates by place in their files: (sample, rec, both reads as f and r). Ids aren't compared."""
-    check_mates(fwd, rev)
-    side = lambda df, c, name: trimmed(df, c).select("sample", "rec", F.struct("id", cut("seq").alias("seq"), cut("qual").alias("qual"), "ee", "passes").alias(name))
-    return side(fwd, fwd_config, "f").join(side(rev, rev_config, "r"), ["sample", "rec"])
+    """Mates by place in their files: (sample, rec, both reads as f and r). Ids aren't compared. A record
+    without a mate is an error when the rows are computed: the join keeps both sides' rows to see it."""
+    side = lambda df, c, name: trimmed(df.select("sample", "rec", "id", "seq", "qual"), c).select("sample", "rec", F.struct("id", cut("seq").alias("seq"), cut("qual").alias("qual"), "ee", "passes").alias(name))
+    both = side(fwd, fwd_config, "f").join(side(rev, rev_config, "r"), ["sample", "rec"], "full")
+    wrong = F.raise_error(F.concat(F.lit("mates differ in number: sample "), F.col("sample"), F.lit(", record "), F.col("rec").cast("string")))
+    # Whatever reads a mate sees the error; a filter of its own would turn the join into an inner one.
+    return both.select("sample", "rec", F.coalesce("f", wrong).alias("f"), F.coalesce("r", wrong).alias("r"))
 
 
 def filter_pairs(fwd: DataFrame, rev: DataFrame, fwd_config: FilterConfig, rev_config: FilterConfig) -> DataFrame:

@@ -5,9 +5,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidepool.functions.kernels import text_of
 from tidepool.functions.sequences import reverse_complement
 
 ALPHABET, AS_BASES = "abcdefghijklmnopqrstuvwxyz", "ACGTACGTACGTACGTACGTACGTAC"
@@ -16,60 +18,87 @@ READ, AMPLICON = 60, 100
 PIECES = 1_000_000
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A table of one small file is one partition; the work on its rows is more than moving them."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df if df.rdd.getNumPartitions() >= n else df.repartition(n)
+
+
+def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "lang", "text"))
+
+
+def _cut(batch: pa.RecordBatch, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(document's row, number of the piece, letters, length) of the pieces of `size` letters of a batch's
+    texts, the last one of each shorter."""
+    text = pc.utf8_lower(pc.fill_null(batch.column("text"), "")).cast(pa.large_binary())
+    ends = np.frombuffer(text.buffers()[1], np.int64)[text.offset : text.offset + len(text) + 1]
+    data = np.frombuffer(text.buffers()[2], np.uint8)[ends[0] : ends[-1]] if ends[-1] > ends[0] else np.zeros(0, np.uint8)
+    is_letter = (data >= 97) & (data <= 122)
+    before = np.r_[0, np.cumsum(is_letter)][ends - ends[0]]
+    lens = np.diff(before)
+    n = -(-lens // size)
+    row = np.repeat(np.arange(len(lens)), n)
+    k = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    return row, k, data[is_letter], np.minimum(size, lens[row] - k * size)
+
+
 def pieces(spark: SparkSession, sf_dir: str, size: int) -> DataFrame:
-    """(sample, rec, doc_id, raw): the letters of each text in pieces of `size`, the last one shorter."""
-    letters = F.regexp_replace(F.lower("text"), "[^a-z]", "")
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "lang", F.regexp_extract_all(letters, F.lit(f".{{1,{size}}}"), F.lit(0)).alias("cut"))
-    cut = docs.select("doc_id", "source", "lang", F.posexplode("cut").alias("k", "raw"))
-    return cut.select(F.col("source").alias("sample"), "lang", "doc_id", (F.col("doc_id") * PIECES + F.col("k")).alias("rec"), "raw")
+    """(sample, lang, doc_id, rec, raw): the letters of each text in pieces of `size`, the last one shorter."""
+
+    def run(batches):
+        for batch in batches:
+            row, k, data, lens = _cut(batch, size)
+            doc = batch.column("doc_id").to_numpy()[row]
+            source, lang = (batch.column(c).take(pa.array(row)) for c in ("source", "lang"))
+            yield pa.RecordBatch.from_arrays([source, lang, pa.array(doc), pa.array(doc * PIECES + k), text_of(data, lens)], ["sample", "lang", "doc_id", "rec", "raw"])
+
+    return _texts(spark, sf_dir).mapInArrow(run, "sample string, lang string, doc_id bigint, rec bigint, raw string")
 
 
 def bases(raw: Column) -> Column:
     return F.translate(raw, ALPHABET, AS_BASES)
 
 
-_TO_BASE = bytes(AS_BASES[ALPHABET.index(chr(b))].encode()[0] if chr(b) in ALPHABET else b for b in range(256))
-_TURNED = bytes.maketrans(b"ACGT", b"TGCA")
+_TO_BASE = np.array([ord(AS_BASES[ALPHABET.index(chr(b))]) if chr(b) in ALPHABET else b for b in range(256)], np.uint8)
+_TURNED = np.frombuffer(bytes.maketrans(b"ACGT", b"TGCA"), np.uint8)
 _READ = "sample string, mate int, rec bigint, id string, seq string, qual string"
 
 
-def _rows(samples, mate: int, rec: np.ndarray, prefix: str, seqs: list[str], quals: list[str]) -> pa.RecordBatch:
-    ids = [f"{prefix}{r}" for r in rec.tolist()]
-    return pa.RecordBatch.from_arrays([samples, pa.array(np.full(len(ids), mate, np.int32)), pa.array(rec), *(pa.array(x, pa.string()) for x in (ids, seqs, quals))], [c.split()[0] for c in _READ.split(", ")])
+def _rows(samples, mate: int, rec: pa.Array, prefix: str, seqs: pa.Array, quals: pa.Array) -> pa.RecordBatch:
+    ids = pc.binary_join_element_wise(prefix, rec.cast(pa.string()), "")
+    return pa.RecordBatch.from_arrays([samples, pa.array(np.full(len(rec), mate, np.int32)), rec, ids, seqs, quals], [c.split()[0] for c in _READ.split(", ")])
 
 
-def _read(df: DataFrame, first: int, size: int, mate: int, offset: int, levels: int) -> DataFrame:
-    """Reads of letters [first, first + size) of `raw`, turned for mate 2. A base's score is offset + (its
-    letter's code * 7 + its place * 3 + doc_id) % levels, places from 1."""
+def _read(spark: SparkSession, sf_dir: str, size: int, first: int, mate: int, offset: int, levels: int) -> DataFrame:
+    """Reads of letters [first, first + READ) of the pieces of `size`, turned for mate 2. Of pieces that are
+    longer than a read only whole ones count. A base's score is offset + (its letter's code * 7 + its place
+    * 3 + doc_id) % levels, places from 1."""
 
     def run(batches):
         for batch in batches:
-            raw = [x[first : first + size] for x in batch.column("raw").to_pylist()]
-            if mate == 2:
-                raw = [x[::-1] for x in raw]
-            doc = batch.column("doc_id").to_numpy()
-            lens = np.fromiter(map(len, raw), np.int64, len(raw))
-            code = np.frombuffer("".join(raw).encode(), np.uint8).astype(np.int64)
-            place = np.arange(len(code)) - np.repeat(np.cumsum(lens) - lens, lens) + 1
-            score = offset + (code * 7 + place * 3 + np.repeat(doc, lens)) % levels
-            quals, ends = (score + 33).astype(np.uint8).tobytes().decode(), np.cumsum(lens).tolist()
-            seqs = [x.encode().translate(_TO_BASE) for x in raw]
-            if mate == 2:
-                seqs = [x.translate(_TURNED) for x in seqs]
-            yield _rows(batch.column("sample"), mate, batch.column("rec").to_numpy(), "r", [x.decode() for x in seqs], [quals[e - n : e] for e, n in zip(ends, lens.tolist())])
-
-    return df.select("sample", "rec", "doc_id", "raw").mapInArrow(run, _READ)
+            row, k, data, lens = _cut(batch, size)
+            start = np.cumsum(lens) - lens + first
+            whole = lens == size if size > READ else np.ones(len(lens), bool)
+            row, k, start, n = row[whole], k[whole], start[whole], np.clip(lens[whole] - first, 0, READ)
+            doc = batch.column("doc_id").to_numpy()[row]
+            place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            code = data[np.repeat(start + n - 1, n) - place if mate == 2 else np.repeat(start, n) + place].astype(np.int64)
+            score = offset + (code * 7 + (place + 1) * 3 + np.repeat(doc, n)) % levels
+            seq = _TO_BASE[code]
+            yield _rows(batch.column("source").take(pa.array(row)), mate, pa.array(doc * PIECES + k), "r", text_of(_TURNED[seq] if mate == 2 else seq, n), text_of(score + 33, n))
+
+    return _texts(spark, sf_dir).mapInArrow(run, _READ)
 
 
 def reads(spark: SparkSession, sf_dir: str, offset: int = 0, levels: int = 41) -> DataFrame:
     """reads(sample, mate, rec, id, seq, qual) of 60 bases."""
-    return _read(pieces(spark, sf_dir, READ), 0, READ, 1, offset, levels)
+    return _read(spark, sf_dir, READ, 0, 1, offset, levels)
 
 
 def mates(spark: SparkSession, sf_dir: str, offset: int = 20, levels: int = 21) -> tuple[DataFrame, DataFrame]:
     """Both mates of amplicons of 100 bases: the first 60, and the last 60 turned; they share 20."""
-    cut = pieces(spark, sf_dir, AMPLICON).where(F.length("raw") == AMPLICON)
-    return _read(cut, 0, READ, 1, offset, levels), _read(cut, AMPLICON - READ, READ, 2, offset, levels)
+    return _read(spark, sf_dir, AMPLICON, 0, 1, offset, levels), _read(spark, sf_dir, AMPLICON, AMPLICON - READ, 2, offset, levels)
 
 
 def references(spark: SparkSession, sf_dir: str, size: int = 200) -> DataFrame:
@@ -103,8 +132,7 @@ def amplicons(spark: SparkSession, sf_dir: str) -> DataFrame:
     """reads(sample, mate, rec, id, seq, qual) of 60 bases, one for each row of lineitem: a template chosen
     by the part, in a sample chosen by the supplier, a quarter of them with one wrong base of low score."""
     rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").selectExpr("l_orderkey AS o", "l_linenumber AS n", "l_partkey % 100 AS share", "concat('s', l_suppkey % 8) AS sample")
-    # A file of narrow rows is one partition; writing the bases out is the work.
-    rows = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
+    rows = spread(rows)
     template = "CASE " + " ".join(f"WHEN share < {s} THEN {v}" for v, s in enumerate(SHARES)) + " END"
     rows = rows.selectExpr("sample", "o * 8 + n AS rec", "o", "(o * 31 + n * 17) % 240 AS wrong", f"{template} AS v")
     i = np.arange(60)
@@ -118,8 +146,8 @@ def amplicons(spark: SparkSession, sf_dir: str) -> DataFrame:
             bad = np.flatnonzero(wrong < 60)
             code[bad, wrong[bad]] = (code[bad, wrong[bad]] + 1 + o[bad] % 3) % 4
             score[bad, wrong[bad]] = 12
-            text = lambda x: np.ascontiguousarray(x.astype(np.uint8)).view("S60")[:, 0].astype(str).tolist()
-            yield _rows(batch.column("sample"), 1, batch.column("rec").to_numpy(), "a", text(letters[code]), text(score + 33))
+            lens = np.full(len(v), 60)
+            yield _rows(batch.column("sample"), 1, batch.column("rec"), "a", text_of(letters[code], lens), text_of(score + 33, lens))
 
     return rows.mapInArrow(run, _READ)
 
