@@ -253,6 +253,15 @@ def taxonomy_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(got.select("qid", "kingdom", "phylum", "class", F.col("order").alias("order_"), "family", "genus", "confidence"), 6, "confidence")
 
 
+@query
+def taxonomy_try_rc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every other query comes turned; percentages, and names from half of the replicates on."""
+    refs = reads.references(spark, sf_dir)
+    own = reads.items(spark, sf_dir).select("qid", F.when(F.col("qid") % 2 == 0, S.reverse_complement(F.col("seq"))).otherwise(F.col("seq")).alias("seq"))
+    got = taxonomy.TaxonomyDb.build(refs).assign(own, min_boot=50, try_rc=True, bootstraps=True)
+    return _rounded(got.withColumnsRenamed({"order": "order_", "order_boot": "order_boot"}), 6, *(f"{x}_boot" for x in fasta.LEVELS))
+
+
 def _species(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = reads.pieces(spark, sf_dir, reads.READ).where(F.length("raw") == reads.READ)
     return cut.select(F.concat_ws(" ", "lang", "sample").alias("description"), reads.bases(F.col("raw")).alias("seq"))

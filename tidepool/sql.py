@@ -113,6 +113,8 @@ best AS (SELECT * FROM ov WHERE mm <= 1 QUALIFY row_number() OVER (PARTITION BY
 
 _KMERS = "SELECT {id}, substr({seq}, i, 8) AS k FROM (SELECT *, unnest(range(1, length({seq}) - 6)) AS i FROM {t})"
 
+_LEVELS = ("kingdom", "phylum", "class", "order_", "family", "genus", "species")
+
 _BEST = """rk AS (SELECT DISTINCT ref_idx, k FROM (""" + _KMERS.format(id="ref_idx", seq="seq", t="refs") + """)),
 qk AS (SELECT qid, list(k ORDER BY i) AS ks FROM (SELECT qid, i, substr(seq, i, 8) AS k FROM (SELECT *, unnest(range(1, length(seq) - 6)) AS i FROM items)) GROUP BY qid),
 q1 AS (SELECT DISTINCT qid, unnest(ks) AS k FROM qk),
@@ -133,6 +135,12 @@ bo AS (SELECT i.qid, t.ref_idx, a.l, list_transform(range(1, 8), lambda j: 0.0)
 sh AS (SELECT qid, ref_idx, any_value(l) AS l, {", ".join(f"count(*) FILTER (WHERE l[{j}] = o[{j}] AND l[{j}] <> '') / 100.0 AS b{j}" for j in range(1, 8))} FROM bo GROUP BY qid, ref_idx)"""
 
 
+def _turned() -> str:
+    """The bootstrap of both directions of every query, as queries of their own: 2 * qid + turned."""
+    own = f"own AS (SELECT qid, CASE WHEN qid % 2 = 0 THEN {rc('seq')} ELSE seq END AS seq FROM items), both_ AS (SELECT qid * 2 AS qid, seq FROM own UNION ALL SELECT qid * 2 + 1, {rc('seq')} FROM own)"
+    return f"{own},\n{_bootstrap().replace('FROM items', 'FROM both_')},\nsh2 AS (SELECT *, qid % 2 AS turned, qid // 2 AS q FROM sh)"
+
+
 _SPECIES = "sr AS (SELECT DISTINCT seq, genus, species FROM (SELECT seq, lang AS genus, sample AS species FROM sp UNION ALL SELECT " + rc("seq") + ", lang, sample FROM sp))"
 _SPREFS = f"sp AS (SELECT {_BASES.format('raw')} AS seq, lang, sample FROM p60 WHERE length(raw) = 60)"
 _HITS = "ex AS (SELECT DISTINCT qid, genus, species FROM wins JOIN sr USING (seq))"
@@ -198,6 +206,7 @@ SELECT seq, sum(cnt)::BIGINT AS cnt, string_agg(sample || ':' || cnt, ',' ORDER
     "chimera_mask": ctes("uniq", more=_chimeras("SELECT 1 AS g, seq, sum(cnt) AS n FROM uniq GROUP BY seq")) + "SELECT seq, seq IN (SELECT seq FROM bad) AS is_chimera FROM r",
     "taxonomy_best": ctes("refs", "items", more=_BEST) + "SELECT i.qid, coalesce(ref_idx, (SELECT max(ref_idx) FROM refs)) AS ref_idx, coalesce(score, 0) AS score FROM items i LEFT JOIN top USING (qid)",
     "taxonomy_bootstrap": ctes("refs", "items", more=_bootstrap()) + "SELECT qid, " + ", ".join(f"CASE WHEN b{j} >= 0.5 THEN l[{j}] END AS {n}" for j, n in enumerate(("kingdom", "phylum", "class", "\"order\"", "family", "genus"), 1)).replace('"order"', "order_") + ", round(b6, 6) AS confidence FROM sh",
+    "taxonomy_try_rc": ctes("refs", "items", more=_turned()) + "SELECT q AS qid, " + ", ".join(f"CASE WHEN b{j} >= 0.5 AND l[{j}] NOT IN ('', 'NA') THEN l[{j}] END AS {n}" for j, n in enumerate(_LEVELS[:6], 1)) + ", NULL AS species, " + ", ".join(f"round(100 * b{j}, 6) AS {n.rstrip('_')}_boot" for j, n in enumerate(_LEVELS, 1)) + " FROM sh2 QUALIFY row_number() OVER (PARTITION BY q ORDER BY b6 DESC, turned) = 1",
     "species_exact": ctes("p60", "wins", more=f"{_SPREFS}, {_SPECIES}, {_HITS}") + _summary("ex", False),
     "species_hamming": ctes("p60", "wins", more=f"{_SPREFS}, {_SPECIES}, {_HITS}, {_NEAR}") + _summary("(SELECT * FROM ex UNION ALL SELECT * FROM nr)", True),
     "add_species": ctes("p60", "wins", more=f"{_SPREFS}, {_SPECIES}, {_HITS}, sx AS ({_summary('ex', False)})") + "SELECT t.qid, t.genus, CASE WHEN t.genus IS NULL OR sx.genus IS NULL OR t.genus = sx.genus THEN sx.species END AS species FROM (SELECT qid, CASE WHEN qid % 3 = 0 THEN NULL WHEN qid % 3 = 1 THEN 'en' ELSE 'fr' END AS genus FROM wins) t LEFT JOIN sx USING (qid)",
