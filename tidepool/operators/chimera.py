@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidepool.functions.kernels import compared, differences
+from tidepool.tables import stored
 
 MIN_ARM = 8
+BASES = "ACGT"
+
+
+def _named(part: Column) -> list[Column]:
+    """128 bits that stand for a part of a sequence."""
+    return [F.xxhash64(F.lit(1), part).alias("h1"), F.xxhash64(F.lit(2), part).alias("h2")]
 
 
 def chimeras(asvs: DataFrame, by: str = "sample") -> DataFrame:
@@ -16,44 +21,43 @@ def chimeras(asvs: DataFrame, by: str = "sample") -> DataFrame:
     group, both strictly commoner, and L the shortest of the three lengths, the sequence first differs from
     p1 at x within L, x >= 8, L - x >= 8, and equals p2 from x to L. Every row is judged against all rows.
 
-    Left arms are found by an equi-join on the first 8 letters. Where a group's sequences have one length,
-    as after truncation, right arms come from one on the last 8; only groups of mixed lengths compare the
-    rows that have a left arm with every commoner row.
+    No pair of rows is ever formed, so a beginning that all sequences share costs no more than another.
+    Left arms: each row meets the others under each of its beginnings, and running minima over those that
+    are strictly commoner and go on with another letter give the shortest p1 for each x. Of equal ends the
+    greatest x leaves the least to match, so a row has one left arm for each length of p1. Right arms: the
+    ends that are asked for, (x, end), are cut out of all rows, and each end's greatest abundance decides.
+    p1 and p2 need no check: they differ at x.
     """
-    rows = asvs.select(F.col(by).alias("g"), "id", "seq", "abundance", F.substring("seq", 1, MIN_ARM).alias("head"), F.substring(F.col("seq"), F.length("seq") - (MIN_ARM - 1), F.lit(MIN_ARM)).alias("tail"))
-    rows = rows.where(F.length("seq") >= 2 * MIN_ARM)
-    mixed = rows.groupBy("g").agg((F.min(F.length("seq")) < F.max(F.length("seq"))).alias("mixed"))
-    parts = int(asvs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = rows.join(mixed, "g").repartition(parts, "g", "head")
-    parent = lambda n: rows.select("g", *(F.col(c).alias(f"{n}_{c}") for c in ("id", "seq", "abundance", "head", "tail")))
-    p1, p2 = parent("p1"), parent("p2")
-    left = rows.join(p1.withColumnRenamed("p1_head", "head"), ["g", "head"]).where(F.col("p1_abundance") > F.col("abundance"))
-
-    def first(x, y, more):
-        differ = differences(x, y)
-        at = differ.argmax(axis=1) if differ.shape[1] else np.zeros(len(x), np.int64)
-        return {"x": at, "valid": (at >= MIN_ARM) & differ.any(axis=1)}
-
-    left = compared(left, "seq", "p1_seq", "x int", first)
-    left = left.select("g", "id", "seq", "abundance", "tail", "mixed", "p1_id", F.length("p1_seq").alias("p1_size"), "x")
-
-    size = F.least(F.length("seq"), F.col("p1_size"), F.length("p2_seq"))
-    part = lambda c: F.substring(F.col(c), F.col("x") + 1, size - F.col("x"))
-    right_arm = (F.col("p2_abundance") > F.col("abundance")) & (F.col("p1_id") != F.col("p2_id")) & (size - F.col("x") >= MIN_ARM) & (part("seq") == part("p2_seq"))
-    # With equal lengths the earliest x leaves the longest right arm, so p1 with the latest x decides; two of
-    # them are kept, as p1 and p2 must differ.
-    even = left.where(~F.col("mixed") & (F.col("x") <= F.length("seq") - MIN_ARM)).groupBy("g", "id", "seq", "abundance", "tail").agg(F.array_sort(F.collect_set(F.struct((-F.col("x")).alias("less"), "p1_id", "p1_size"))).alias("arms"))
-    even = even.select("g", "id", "seq", "abundance", "tail", F.explode(F.slice("arms", 1, 2)).alias("a")).select("g", "id", "seq", "abundance", "tail", "a.p1_id", "a.p1_size", (-F.col("a.less")).alias("x"))
-    found = even.join(p2.withColumnRenamed("p2_tail", "tail"), ["g", "tail"]).where(right_arm).select("g", "id")
-    uneven = left.where("mixed").join(p2, "g").where(right_arm).select("g", "id")
-    return found.union(uneven).distinct().withColumnRenamed("g", by)
+    rows = asvs.select(F.col(f"`{by}`").alias("g"), "id", "seq", F.col("abundance").cast("long").alias("abundance"), F.length("seq").alias("size")).where(F.length("seq") >= 2 * MIN_ARM)
+    rows = stored(rows, "asvs")  # read three times, and the end of a long pipeline
+    starts = rows.select("*", F.explode(F.sequence(F.lit(MIN_ARM), F.col("size") - MIN_ARM)).alias("x"))
+    starts = starts.select("g", "id", "abundance", "size", "x", F.substring(F.col("seq"), F.col("x") + 1, F.lit(1)).alias("next"), *_named(F.substring(F.col("seq"), F.lit(1), F.col("x"))))
+    commoner = Window.partitionBy("g", "x", "h1", "h2").orderBy(F.desc("abundance")).rangeBetween(Window.unboundedPreceding, -1)
+    by_letter = {f"p_{c}": F.min(F.when(F.col("next") == c, F.col("size"))).over(commoner) for c in BASES}
+    odd = F.collect_set(F.when(~F.col("next").isin(*BASES), F.struct("next", "size"))).over(commoner)  # letters that are no bases
+    shortest = [F.when(F.col("next") != c, F.col(f"p_{c}")) for c in BASES]
+    others = F.array_min(F.transform(F.filter("p_odd", lambda o: o["next"] != F.col("next")), lambda o: o["size"]))
+    left = starts.withColumns({**by_letter, "p_odd": odd}).withColumn("p1", F.least(*shortest, others)).where("p1 is not null")
+    arms = left.groupBy("g", "id", F.least("size", "p1").alias("end")).agg(F.max("x").alias("x"))
+
+    # An end is either reached by a longer p2, or is p2's own: then it may lie before the end of p1.
+    sizes = rows.groupBy("g").agg(F.collect_set("size").alias("sizes"))
+    ends = F.concat(F.array(F.struct(F.col("end").alias("end"), F.lit(False).alias("own"))), F.transform(F.filter("sizes", lambda n: (n < F.col("end")) & (n >= F.col("x") + MIN_ARM)), lambda n: F.struct(n.alias("end"), F.lit(True).alias("own"))))
+    wanted = arms.join(sizes, "g").select("g", "id", F.explode(ends).alias("e"), "x").select("g", "id", "x", "e.end", "e.own")
+    cuts = wanted.groupBy("g").agg(F.collect_set(F.struct("x", "end", "own")).alias("cuts"))  # at most lengths squared
+    reached = F.filter("cuts", lambda c: F.col("size") >= c["end"])
+    parts = rows.join(cuts, "g").select("g", "id", "seq", "size", "abundance", F.explode(reached).alias("c")).select("g", "id", "seq", "size", "abundance", "c.x", "c.end", "c.own")
+    parts = parts.select("g", "id", "size", "abundance", "x", "end", "own", *_named(F.substring(F.col("seq"), F.col("x") + 1, F.col("end") - F.col("x"))))
+    p2 = F.when(~F.col("own") | (F.col("size") == F.col("end")), F.col("abundance"))
+    matched = parts.withColumn("most", F.max(p2).over(Window.partitionBy("g", "x", "end", "own", "h1", "h2"))).where("most > abundance")
+    return matched.join(wanted, ["g", "id", "x", "end", "own"], "left_semi").select("g", "id").distinct().withColumnRenamed("g", by)
 
 
 def remove_chimeras(asvs: DataFrame, by: str = "sample") -> DataFrame:
     """asvs(by, seq, abundance) without chimeras."""
     named = asvs.withColumn("id", F.col("seq")) if "id" not in asvs.columns else asvs
     out = named.join(chimeras(named, by), [by, "id"], "left_anti")
-    return out.select(asvs.columns)
+    return out.select([f"`{c}`" for c in asvs.columns])
 
 
 def chimera_mask(table: DataFrame) -> DataFrame:

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from tidepool.operators.dereplicate import pooled
 from tidepool.operators.error_fit import ErrorModel
 from tidepool.operators.quality import MAX_QUAL
+from tidepool.tables import stored
 
 OUT = "sample string, seq string, centre string, cnt bigint"
 _CODE = np.zeros(256, np.int64)
@@ -81,8 +82,8 @@ class Sample:
         self.seqs, self.counts = seqs, counts
         self.size = np.array([len(s) for s in seqs])
         n, width = len(seqs), int(self.size.max(initial=0))
-        self.code = np.zeros((n, width), np.int64)
-        self.cell = np.full((n, width), 16 * MAX_QUAL, np.int64)  # the last entry of the table: 0
+        self.code = np.zeros((n, width), np.int16)  # 4 bytes a letter in all: the sequences of a sample are held at once
+        self.cell = np.full((n, width), 16 * MAX_QUAL, np.int16)  # the last entry of the table: 0
         for i, s in enumerate(seqs):
             code = _CODE[np.frombuffer(s.encode("latin-1", "replace"), np.uint8)]
             q = np.zeros(len(s))
@@ -186,7 +187,8 @@ def denoise(uniques: DataFrame, model: ErrorModel, config: DenoiseConfig = Denoi
 
 def denoise_pseudo(uniques: DataFrame, model: ErrorModel, config: DenoiseConfig = DenoiseConfig()) -> DataFrame:
     """Two passes: what any sample finds is a prior for all of them in the second."""
-    return denoise(uniques, model, config, denoise(uniques, model, config).select("seq").distinct())
+    own = stored(uniques.select("sample", "seq", "cnt", "qual_sum"), "uniques")  # read by both passes
+    return denoise(own, model, config, denoise(own, model, config).select("seq").distinct())
 
 
 def denoise_pooled(uniques: DataFrame, model: ErrorModel, config: DenoiseConfig = DenoiseConfig(), double_first: bool = False) -> DataFrame:

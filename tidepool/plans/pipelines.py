@@ -17,6 +17,7 @@ from tidepool.operators.errors import first_of_each
 from tidepool.operators.filtering import FilterConfig, filter_pairs, filter_reads
 from tidepool.operators.merge import MergeConfig, merge_pairs
 from tidepool.sources.fastq import per_file, read_fastq, stem, write_fastq
+from tidepool.tables import stored
 
 
 @dataclass(frozen=True)
@@ -45,9 +46,8 @@ def _learn(reads: DataFrame, config: PipelineConfig) -> ErrorModel:
 def single(reads: DataFrame, config: PipelineConfig = PipelineConfig(), model: ErrorModel | None = None) -> DataFrame:
     """(seq, abundance) over all samples: filter, learn, denoise each sample, sum by sequence, remove
     chimeras."""
-    kept = filter_reads(reads, config.fwd).persist()  # read once to learn from and once to denoise
-    # Variants are few; chimeras are sought by joining them with themselves, so they are made once.
-    asvs = _DENOISERS[config.pool](dereplicate(kept), model or _learn(kept, config), config.denoise).persist()
+    kept = stored(filter_reads(reads, config.fwd).select("sample", "rec", "seq", "qual"), "filtered")  # read to learn from and to denoise
+    asvs = stored(_DENOISERS[config.pool](dereplicate(kept), model or _learn(kept, config), config.denoise), "variants")
     if config.chimeras_first:
         rows = asvs.select(F.lit(1).alias("all"), F.concat("sample", F.lit("/"), "seq").alias("id"), "seq", "abundance")
         return remove_chimeras(rows, "all").groupBy("seq").agg(F.sum("abundance").alias("abundance"))
@@ -58,15 +58,15 @@ def samples(fwd: DataFrame, rev: DataFrame | None = None, config: PipelineConfig
     """(sample, seq, abundance): filter, learn (from the forward reads, for both mates), denoise, merge,
     remove each sample's chimeras."""
     if rev is None:
-        kept = filter_reads(fwd, config.fwd).persist()
-        return remove_chimeras(_DENOISERS[config.pool](dereplicate(kept), model or _learn(kept, config), config.denoise).persist())
-    pairs = filter_pairs(fwd, rev, config.fwd, config.rev).persist()
+        kept = stored(filter_reads(fwd, config.fwd).select("sample", "rec", "seq", "qual"), "filtered")
+        return remove_chimeras(stored(_DENOISERS[config.pool](dereplicate(kept), model or _learn(kept, config), config.denoise), "variants"))
+    pairs = stored(filter_pairs(fwd, rev, config.fwd, config.rev), "filtered")
     side = lambda s: pairs.select("sample", "rec", F.col(f"{s}_seq").alias("seq"), F.col(f"{s}_qual").alias("qual"))
     model = model or _learn(side("fwd"), config)
     other = _learn(side("rev"), config) if config.separate_errors else model
     run = _DENOISERS[config.pool]
     merged = merge_pairs(run(dereplicate(side("fwd")), model, config.denoise), run(dereplicate(side("rev")), other, config.denoise), config.merge)
-    return remove_chimeras(merged.groupBy("sample", "seq").agg(F.sum("abundance").alias("abundance")).persist())
+    return remove_chimeras(stored(merged.groupBy("sample", "seq").agg(F.sum("abundance").alias("abundance")), "variants"))
 
 
 def run_pipeline(spark: SparkSession, paths: list[str], output_dir: str | None = None, trunc_len: int = 0, max_ee: float = 2.0, omega_a: float = 1e-40) -> dict[str, int]:
