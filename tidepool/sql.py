@@ -102,9 +102,9 @@ def _matrix(p: str) -> str:
     return ctes("grid") + f"SELECT t, o, q, round(CASE WHEN t = o THEN 1 - {p} ELSE {p} / 3 END, 9) AS p FROM grid"
 
 
-_MISMATCH = """u AS (SELECT seq, cnt, list(s ORDER BY i) AS s FROM (SELECT seq, i, count(*) AS cnt, sum(q[i]) AS s FROM (SELECT seq, q, unnest(range(1, length(seq) + 1)) AS i FROM amp) GROUP BY seq, i) GROUP BY seq, cnt),
+_MISMATCH = """u AS MATERIALIZED (SELECT seq, cnt, list(s ORDER BY i) AS s FROM (SELECT seq, i, count(*) AS cnt, sum(q[i]) AS s FROM (SELECT seq, q, unnest(range(1, length(seq) + 1)) AS i FROM amp) GROUP BY seq, i) GROUP BY seq, cnt),
 pr AS (SELECT a.seq AS p, b.seq AS c, least(a.cnt, b.cnt) AS w, b.cnt, b.s FROM u a JOIN u b ON length(a.seq) = length(b.seq) AND (a.cnt > b.cnt OR (a.cnt = b.cnt AND a.seq < b.seq)) WHERE hamming(a.seq, b.seq) BETWEEN 1 AND 8),
-mis AS (SELECT strpos('ACGT', substr(p, i, 1)) - 1 AS t, strpos('ACGT', substr(c, i, 1)) - 1 AS o, least(floor(s[i] / cnt), 40)::INT AS q, sum(w) AS w FROM (SELECT *, unnest(range(1, length(p) + 1)) AS i FROM pr) WHERE substr(p, i, 1) <> substr(c, i, 1) GROUP BY ALL)"""
+mis AS MATERIALIZED (SELECT strpos('ACGT', substr(p, i, 1)) - 1 AS t, strpos('ACGT', substr(c, i, 1)) - 1 AS o, least(floor(s[i] / cnt), 40)::INT AS q, sum(w) AS w FROM (SELECT *, unnest(list_filter(range(1, length(p) + 1), lambda i: substr(p, i::INT, 1) <> substr(c, i::INT, 1))) AS i FROM pr) GROUP BY ALL)"""
 
 _OVERLAP = """f AS (SELECT sample, substr(seq, 1, 40) AS seq, count(*) AS n FROM amp GROUP BY ALL), r AS (SELECT sample, substr(seq, 21, 40) AS mate, count(*) AS n FROM amp GROUP BY ALL),
 ov AS (SELECT f.sample, f.seq AS f, r.mate, f.n AS fn, r.n AS rn, k, hamming(right(f.seq, k), left(r.mate, k)) AS mm FROM f JOIN r ON f.sample = r.sample CROSS JOIN range(15, 41) AS x(k)
@@ -220,3 +220,99 @@ SELECT seq, sum(cnt)::BIGINT AS cnt, string_agg(sample || ':' || cnt, ',' ORDER
     "lineage": ctes("refs") + "SELECT id, array_to_string(list_transform(string_split(description, ';'), lambda x: trim(x)), '|') AS lineage FROM refs",
     "first_reads": ctes("amp", more="z AS (SELECT sample, rec, row_number() OVER (ORDER BY sample, rec) AS r FROM amp)") + "SELECT sample, rec FROM z WHERE r <= 20000",
 }
+
+
+# Denoising. One pass over a group's sequences in order: a step adds the next centre of every group and brings
+# all scores up to date. A second pass would find nothing more here, as scores only rise with more centres.
+
+_ILLUMINA = "SELECT t, o, q, CASE WHEN t = o THEN 1 - pow(10.0, -q / 10.0) ELSE pow(10.0, -q / 10.0) / 3 END AS p FROM grid"
+
+
+def _uniques(name: str, source: str, size: int) -> str:
+    """(g, seq, cnt, q): distinct sequences of rows (g, seq, q), with their mean scores cut to whole numbers."""
+    return f"""{name} AS (SELECT g, seq, cnt, list(least(floor(s / cnt), 40)::INT ORDER BY i) AS q FROM (SELECT g, seq, i, count(*) AS cnt, sum(q[i]) AS s FROM (SELECT g, seq, q, unnest(range(1, {size + 1})) AS i FROM {source}) GROUP BY g, seq, i) GROUP BY g, seq, cnt)"""
+
+
+def _denoised(n: str, uniques: str, model: str, prior: str = "false") -> str:
+    """Tables that end in {n}a (g, seq, centre, cnt)."""
+    log_p = """CASE WHEN ll < ln(1e-14) THEN cnt * ll - CASE WHEN cnt <= 20 THEN ln(factorial(cnt::INT)::DOUBLE) ELSE cnt * ln(cnt) - cnt + 0.5 * ln(2 * pi() * cnt) END
+    WHEN cnt <= exp(ll) THEN 0 WHEN cnt * ll - exp(ll) - lgamma(cnt + 1) >= ln(1e-40) THEN 0
+    ELSE cnt * ll - exp(ll) - lgamma(cnt + 1) + ln(list_sum(list_transform(range(200), lambda j: exp(j * ll - lgamma(cnt + 1 + j) + lgamma(cnt + 1))))) END < ln(1e-40)"""
+    return f"""{n}u AS MATERIALIZED (SELECT g, row_number() OVER (PARTITION BY g ORDER BY cnt DESC, seq) AS rk, seq, cnt, q, ({prior}) AS prior FROM {uniques}),
+{n}t AS MATERIALIZED (SELECT g, ln(sum(cnt)) AS lt FROM {n}u GROUP BY g),
+{n}e AS MATERIALIZED (SELECT g, rk, i, greatest(strpos('ACGT', substr(seq, i::INT, 1)) - 1, 0) AS c, greatest(strpos('ACGT', substr(seq, i::INT, 1)) - 1, 0) * 41 + q[i] AS k FROM (SELECT *, unnest(range(1, length(seq) + 1)) AS i FROM {n}u)),
+{n}m AS MATERIALIZED (SELECT t, o * 41 + q AS k, ln(greatest(p, 1e-300))::FLOAT::DOUBLE AS lp FROM ({model})),
+{n}w(g, rk, score, best, newest) AS (
+  SELECT e.g, e.rk, sum(lp), 1::BIGINT, 1::BIGINT FROM {n}e e JOIN {n}e c ON c.g = e.g AND c.i = e.i AND c.rk = 1 JOIN {n}m m ON m.t = c.c AND m.k = e.k GROUP BY e.g, e.rk
+  UNION ALL
+  (WITH cand AS MATERIALIZED (SELECT g, rk, best, score, cnt, prior, lt FROM (SELECT w.*, u.cnt, u.prior, t.lt, t.lt + w.score AS ll FROM {n}w w JOIN {n}u u USING (g, rk) JOIN {n}t t USING (g) WHERE rk > newest) WHERE prior OR {log_p}),
+  bl AS MATERIALIZED (SELECT x.g, x.best, e.i, e.c FROM (SELECT DISTINCT g, best FROM cand) x JOIN {n}e e ON e.g = x.g AND e.rk = x.best),
+  dl AS MATERIALIZED (SELECT d.g, d.rk, d.best, e.i, e.k FROM cand d JOIN {n}e e ON e.g = d.g AND e.rk = d.rk),
+  moved AS (SELECT d.g, d.rk, d.i, m0.lp AS same, m1.lp AS put, m2.lp AS cut FROM dl d
+    JOIN bl c0 ON c0.g = d.g AND c0.best = d.best AND c0.i = d.i JOIN {n}m m0 ON m0.t = c0.c AND m0.k = d.k
+    LEFT JOIN bl c1 ON c1.g = d.g AND c1.best = d.best AND c1.i = d.i - 1 LEFT JOIN {n}m m1 ON m1.t = c1.c AND m1.k = d.k
+    LEFT JOIN bl c2 ON c2.g = d.g AND c2.best = d.best AND c2.i = d.i + 1 LEFT JOIN {n}m m2 ON m2.t = c2.c AND m2.k = d.k),
+  gaps AS (SELECT g, rk, max(pre + ln(1e-3) + greatest(put, cut)) AS gap FROM (SELECT g, rk, coalesce(sum(same) OVER (PARTITION BY g, rk ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pre,
+    coalesce(sum(put) OVER (PARTITION BY g, rk ORDER BY i ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), 0) AS put, coalesce(sum(cut) OVER (PARTITION BY g, rk ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 0) AS cut FROM moved) GROUP BY g, rk),
+  nx AS (SELECT g, min(rk) AS c FROM (SELECT g, rk, cnt, prior, lt + greatest(score, gap) AS ll FROM cand JOIN gaps USING (g, rk)) WHERE prior OR {log_p} GROUP BY g),
+  cl AS MATERIALIZED (SELECT nx.g, nx.c AS newest, e.i, e.c FROM nx JOIN {n}e e ON e.g = nx.g AND e.rk = nx.c),
+  s AS (SELECT e.g, e.rk, cl.newest AS c, sum(lp) AS s FROM {n}e e JOIN cl ON e.g = cl.g AND e.i = cl.i JOIN {n}m m ON m.t = cl.c AND m.k = e.k GROUP BY e.g, e.rk, cl.newest)
+  SELECT g, rk, greatest(w.score, s.s), CASE WHEN s.s >= w.score THEN s.c ELSE w.best END, s.c FROM {n}w w JOIN s USING (g, rk))
+),
+{n}a AS MATERIALIZED (SELECT u.g, u.seq, c.seq AS centre, u.cnt FROM (SELECT * FROM {n}w QUALIFY newest = max(newest) OVER (PARTITION BY g)) f JOIN {n}u u USING (g, rk) JOIN {n}u c ON c.g = f.g AND c.rk = f.best)"""
+
+
+def _recursive(text: str) -> str:
+    return text.replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+_AMP = "src AS (SELECT sample AS g, seq, q FROM amp)"
+_VARIANTS = "SELECT g AS sample, centre AS seq, sum(cnt)::BIGINT AS abundance FROM {} GROUP BY ALL"
+
+#: The fit for scores of few levels, from transition counts tc (t, o, q, n).
+_TRANSITIONS = """tc AS MATERIALIZED (SELECT t, t AS o, q, greatest(sum(n), 0) AS n FROM (SELECT strpos('ACGT', substr(seq, i, 1)) - 1 AS t, least(q[i], 40) AS q, 1 AS n FROM (SELECT seq, q, unnest(range(1, length(seq) + 1)) AS i FROM amp) UNION ALL SELECT o, q, -w FROM mis) GROUP BY t, q
+  UNION ALL SELECT t, o, q, w FROM mis)"""
+_LEARNED = _BINNED.replace("FROM adj WHERE q % 9 IN (2, 7)", "FROM tc").replace("\nSELECT t, o, q, round(", ",\nlearned AS MATERIALIZED (SELECT t, o, q, (").replace(", 6) AS p FROM grid", ") AS p FROM grid") + ")"
+
+
+def _learning(reads: str) -> str:
+    """learned (t, o, q, p) from rows (seq, q), whose scores have few levels."""
+    return f"{_MISMATCH},\n{_TRANSITIONS},\n{_LEARNED}".replace("FROM amp", f"FROM {reads}")
+
+
+def _pipeline_single() -> str:
+    rows = "SELECT 1 AS g, centre AS seq, sum(cnt) AS n FROM da GROUP BY centre"
+    return ctes("grid", "amp", more=f"{_learning('amp')}, {_AMP}, {_uniques('du0', 'src', 60)}, {_denoised('d', 'du0', 'SELECT * FROM learned')}, {_chimeras(rows)}") + "SELECT seq, n::BIGINT AS abundance FROM r WHERE seq NOT IN (SELECT seq FROM bad)"
+
+
+def _pipeline_samples() -> str:
+    fwd = "fsrc AS (SELECT sample AS g, substr(seq, 1, 40) AS seq, q[1:40] AS q FROM amp)"
+    rev = f"rsrc AS (SELECT sample AS g, {rc('substr(seq, 21, 40)')} AS seq, list_reverse(q[21:60]) AS q FROM amp)"
+    merged = f"""f AS (SELECT g, centre AS seq, sum(cnt) AS n FROM fa GROUP BY ALL), v AS (SELECT g, {rc('centre')} AS mate, sum(cnt) AS n FROM va GROUP BY ALL),
+ov AS (SELECT f.g, f.seq AS f, v.mate, least(f.n, v.n) AS n, k FROM f JOIN v USING (g) CROSS JOIN range(20, 41) AS x(k) WHERE right(f.seq, k) = left(v.mate, k)),
+mg AS (SELECT g, f || substr(mate, max(k)::INT + 1) AS seq, n FROM ov GROUP BY g, f, mate, n)"""
+    lcp = _chimeras("SELECT g, seq, sum(n) AS n FROM mg GROUP BY ALL")
+    return ctes("grid", "amp", more=f"{fwd}, {rev}, {_learning('fsrc')}, {_uniques('fu0', 'fsrc', 40)}, {_uniques('vu0', 'rsrc', 40)}, {_denoised('f', 'fu0', 'SELECT * FROM learned')}, {_denoised('v', 'vu0', 'SELECT * FROM learned')}, {merged}, {lcp}") + "SELECT g AS sample, seq, n::BIGINT AS abundance FROM r WHERE (g, seq) NOT IN (SELECT (g, seq) FROM bad)"
+
+
+#: Rows of sigmoid(a + b q), climbed for 16 rounds; a round's state is a row for each of the 16 directions.
+_LOGISTIC = """cell AS MATERIALIZED (SELECT t, o, q, coalesce(n, 0) AS n FROM grid LEFT JOIN adj USING (t, o, q)),
+climb(i, t, o, a, b, before, done) AS (
+  SELECT 0, t, o, CASE WHEN t = o THEN 5.0 ELSE -5.0 END::DOUBLE, CASE WHEN t = o THEN -0.3 ELSE 0.1 END::DOUBLE, '-Infinity'::DOUBLE, sum(n) = 0 FROM cell GROUP BY t, o
+  UNION ALL
+  SELECT i + 1, t, o, a + 1e-3 * sum(n * (1 - p)), b + 1e-3 * sum(n * (1 - p) * q), sum(n * ln(greatest(p, 1e-300))), abs(sum(n * ln(greatest(p, 1e-300))) - before) < 1e-6
+  FROM (SELECT climb.*, q, n, 1 / (1 + exp(-greatest(least(a + b * q, 700), -700))) AS p FROM climb JOIN cell USING (t, o) WHERE i < 16 AND NOT done) GROUP BY i, t, o, a, b, before)
+SELECT t, o, q, round(1 / (1 + exp(-greatest(least(a + b * q, 700), -700))), 6) AS p FROM cell JOIN (SELECT * FROM climb QUALIFY i = max(i) OVER (PARTITION BY t, o)) USING (t, o)"""
+
+_POOLED = "src AS (SELECT 'all' AS g, seq, q FROM amp), own AS (SELECT sample, seq, count(*) AS cnt FROM amp GROUP BY ALL), whole AS (SELECT seq, count(*) AS cnt FROM amp GROUP BY seq)"
+
+ORACLES |= {
+    "denoise_many": _recursive(ctes("grid", "amp", more=f"{_AMP}, {_uniques('du0', 'src', 60)}, {_denoised('d', 'du0', _ILLUMINA)}")) + _VARIANTS.format("da"),
+    "denoise_pseudo": _recursive(ctes("grid", "amp", more=f"{_AMP}, {_uniques('du0', 'src', 60)}, {_denoised('d', 'du0', _ILLUMINA)}, {_denoised('z', 'du0', _ILLUMINA, 'seq IN (SELECT centre FROM da)')}")) + _VARIANTS.format("za"),
+    "denoise_pooled": _recursive(ctes("grid", "amp", more=f"{_POOLED}, {_uniques('du0', 'src', 60)}, {_denoised('d', 'du0', _ILLUMINA)}"))
+    + "SELECT sample, seq, abundance FROM (SELECT own.sample, own.seq, round(v.n * own.cnt / whole.cnt)::BIGINT AS abundance FROM (SELECT centre AS seq, sum(cnt) AS n FROM da GROUP BY ALL) v JOIN own USING (seq) JOIN whole USING (seq)) WHERE abundance > 0",
+    "learn_errors": ctes("grid", "amp", more=_learning("amp")) + "SELECT t, o, q, round(p, 6) AS p FROM learned",
+    "logistic_fit": _recursive(ctes("adj", "grid", more=_LOGISTIC)),
+    "run_pipeline": _recursive(_pipeline_single()),
+    "run_pipeline_samples": _recursive(_pipeline_samples()),
+}
