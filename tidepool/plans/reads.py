@@ -131,10 +131,11 @@ _FACTOR = 2654435761
 def amplicons(spark: SparkSession, sf_dir: str) -> DataFrame:
     """reads(sample, mate, rec, id, seq, qual) of 60 bases, one for each row of lineitem: a template chosen
     by the part, in a sample chosen by the supplier, a quarter of them with one wrong base of low score."""
-    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").selectExpr("l_orderkey AS o", "l_linenumber AS n", "l_partkey % 100 AS share", "concat('s', l_suppkey % 8) AS sample")
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").selectExpr("l_orderkey AS o", "l_linenumber AS n", "l_partkey AS p", "l_suppkey AS s", "CAST(l_quantity AS bigint) AS quantity", "l_partkey % 100 AS share", "concat('s', l_suppkey % 8) AS sample")
     rows = spread(rows)
     template = "CASE " + " ".join(f"WHEN share < {s} THEN {v}" for v, s in enumerate(SHARES)) + " END"
-    rows = rows.selectExpr("sample", "o * 8 + n AS rec", "o", "(o * 31 + n * 17) % 240 AS wrong", f"{template} AS v")
+    # Some rows share their order and line; with part, supplier and quantity the record's number is its own.
+    rows = rows.selectExpr("sample", "(((o * 8 + n) * 1000000 + p) * 1000 + s) * 64 + quantity AS rec", "o", "(o * 31 + n * 17) % 240 AS wrong", f"{template} AS v")
     i = np.arange(60)
     templates = np.stack([(np.where(v < 11, v, i >= 30).astype(np.int64) + 1) * (i + 1) * _FACTOR // 65536 % 4 for v in range(len(SHARES))])
     letters = np.frombuffer(b"ACGT", np.uint8)

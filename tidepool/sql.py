@@ -42,7 +42,7 @@ PARTS = {
     "wins": "wins AS (SELECT item * 100000 + p AS qid, substr(seq, p + 1, 60) AS seq FROM (SELECT qid AS item, seq, unnest(range(length(seq) - 59)) AS p FROM items WHERE length(seq) >= 60))",
     "amp": f"""amp AS (SELECT sample, rec, array_to_string(list_transform(range(60), lambda i: substr('ACGTACGT', {_CODE}, 1)), '') AS seq,
   list_transform(range(60), lambda i: CASE WHEN i = wrong THEN 12 ELSE 30 + (i * 7 + o) % 8 END) AS q
-  FROM (SELECT 's' || l_suppkey % 8 AS sample, l_orderkey * 8 + l_linenumber AS rec, l_orderkey AS o, (l_orderkey * 31 + l_linenumber * 17) % 240 AS wrong, {_SHARE} AS v FROM lineitem))""",
+  FROM (SELECT 's' || l_suppkey % 8 AS sample, (((l_orderkey * 8 + l_linenumber) * 1000000 + l_partkey) * 1000 + l_suppkey) * 64 + l_quantity::BIGINT AS rec, l_orderkey AS o, (l_orderkey * 31 + l_linenumber * 17) % 240 AS wrong, {_SHARE} AS v FROM lineitem))""",
     "uniq": "uniq AS (SELECT sample, seq, count(*) AS cnt FROM amp GROUP BY sample, seq)",
     # Transitions between neighbouring bases stand for evidence where only the fit is to be compared.
     "adj": "adj AS (SELECT t, o, q, count(*) AS n FROM (SELECT strpos('ACGT', substr(seq, i, 1)) - 1 AS t, strpos('ACGT', substr(seq, i + 1, 1)) - 1 AS o, q[i] AS q FROM (SELECT seq, q, unnest(range(1, length(seq))) AS i FROM reads)) GROUP BY t, o, q)",
