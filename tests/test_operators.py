@@ -82,6 +82,31 @@ def test_primers(spark):
     assert primers.primer_stats(r, c).first()["reads_out"] == 1
 
 
+def test_remove_primers(spark):
+    r = reads(spark, ("a", "AAAA" + "C" * 10, q(*[40] * 14)), ("a", "G" * 14, q(*[40] * 14)))
+    kept, stats = primers.remove_primers(r, "AAAA", max_mismatches=0)
+    assert [x["seq"] for x in kept.collect()] == ["C" * 10] and stats.first()["reads_in"] == 2
+    with pytest.raises(ValueError, match="indels"):
+        primers.remove_primers(r, "AAAA", allow_indels=True)
+
+
+def test_uniques_of_every_step(spark):
+    merged = spark.createDataFrame([("AC", 3, True), ("GG", 2, False)], "sequence string, abundance int, accept boolean")
+    assert [tuple(x) for x in seqtable.get_uniques(merged).collect()] == [("AC", 3)]
+    assert [x["seq"] for x in seqtable.get_sequences(merged.select("sequence", "abundance")).collect()] == ["AC", "GG"]
+    with pytest.raises(ValueError):
+        seqtable.get_uniques(merged.select("accept"))
+
+
+def test_learning_from_bases(spark):
+    assert [error_fit.reads_of_bases(n) for n in (1, 1e8, 1e12)] == [10_000, 666_667, 10_000_000]
+    r = reads(spark, ("a", "ACGT", "IIII"))
+    assert error_fit.learn_errors_from_bases(r, err_fun="PacBioErrfun").kind == "pacbio"
+    assert error_fit.learn_errors_from_bases(r.where("false")).kind == "illumina"
+    with pytest.raises(ValueError):
+        error_fit.learn_errors_from_bases(r, err_fun="none")
+
+
 def test_dereplicate(spark):
     r = reads(spark, *[("a", "AAAA", q(1, 2, 3, 4))] * 3, ("a", "CCCC", q(9, 9, 9, 9)), ("b", "aaaa", ""), ("b", "", ""))
     got = {(x["sample"], x["seq"]): (x["cnt"], x["qual_sum"]) for x in dereplicate.dereplicate(r).collect()}
@@ -132,6 +157,48 @@ def test_mismatch_counts(spark):
     assert {(x["t"], x["o"], x["q"]): x["w"] for x in got.collect()} == slow_mismatches(rows, 3)
 
 
+@pytest.mark.parametrize("most", [1, 3])
+def test_hot_chunks_are_dealt_in_blocks(spark, most):
+    """Variants of one template, all under the same chunks, in blocks of a few rows."""
+    rng = np.random.default_rng(4)
+    base = "".join(rng.choice(list("ACGT"), 24))
+    rows = []
+    for _ in range(150):
+        s = list(base)
+        for k in rng.integers(0, 24, rng.integers(0, 3)):
+            s[k] = "ACGTN"[rng.integers(5)]
+        rows.append(("".join(s), q(*rng.integers(2, 41, 24))))
+    r = reads(spark, *[("a", s, x) for s, x in rows])
+    want = slow_mismatches(rows, most)
+    base_of = lambda c: max(c, 0)
+    merged = {}
+    for (t, o, s), w in want.items():
+        key = (base_of(t), base_of(o), s)
+        merged[key] = merged.get(key, 0) + w
+    got = {(x["t"], x["o"], x["q"]): x["w"] for x in errors.mismatch_counts(r, most, block=7).collect()}
+    assert got == merged
+    u = dereplicate.counts(r, "sample").select(F.col("seq").alias("id"), "seq", "cnt")
+    tasks = errors._dealt(u.select("id", "seq", "cnt"), most, 7).select(F.spark_partition_id().alias("p")).distinct().count()
+    pairs = sorted(tuple(x) for x in errors.neighbours(u, most, block=7).collect())
+    assert pairs == sorted(tuple(x) for x in errors.neighbours(u, most).collect()) and len(pairs) == len(set(pairs)) and tasks > 1
+    seqs = {x["seq"]: x["cnt"] for x in u.collect()}
+    assert all(1 <= sum(a != b for a, b in zip(p, c)) == d <= most and (seqs[p], c) > (seqs[c], p) for p, c, d, _, _ in pairs)
+
+
+def test_odd_reads(spark):
+    """No scores, no letters, nulls, letters beyond ASCII, and names with dots."""
+    r = reads(spark, ("a", "ACGT", "IIII"), ("a", "ACGT", None), (None, None, "II"), ("b", "ÄC", "ÄI"), ("b", "", "")).select("*", F.lit(1).alias("x.y"))
+    assert errors.first_reads(r.where("sample is not null"), 3).columns == r.columns
+    assert errors.first_of_each(r.where("sample is not null"), 1).count() == 2
+    kept = filtering.filter_reads(r, filtering.FilterConfig(min_len=1, max_ee=9.0))
+    assert [(x["seq"], x["x.y"]) for x in kept.collect()] == [("ACGT", 1), ("ACGT", 1), ("ÄC", 1)]
+    assert {x["q"]: x["n"] for x in errors.match_counts(r).groupBy("q").agg(F.sum("n").alias("n")).collect()} == {40: 6}
+    assert sum(x["cnt"] for x in quality.quality_profile(r).collect()) == 8
+    assert dereplicate.dereplicate(r).agg(F.sum("cnt")).first()[0] == 5
+    empty = r.where("false")
+    assert quality.quality_profile(empty).count() == errors.match_counts(empty).count() == errors.mismatch_counts(empty).count() == dereplicate.dereplicate(empty).count() == 0
+
+
 def test_models():
     assert np.allclose(error_fit.pacbio().reshape(4, 4, 41).sum(axis=1), 1)
     m = error_fit.ErrorModel(error_fit.illumina(), 5, "x")
@@ -335,6 +402,22 @@ def test_taxonomy_short_query(spark):
     assert taxonomy.taxonomy_table(spark.createDataFrame([(1, "NA", [0.5] * 7)], "qid long, kingdom string, bootstrap array<double>"), ["kingdom"], True).first().asDict() == {"qid": 1, "kingdom": None, "kingdom_boot": 50.0}
 
 
+def test_taxonomy_in_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    say = lambda n: "".join(rng.choice(list("ACGT"), n))
+    refs = spark.createDataFrame([(i, f"r{i}", f"K;P{i % 2};C;O;F{i % 3};G{i % 5};S", say(120)) for i in range(40)], "ref_idx long, id string, description string, seq string")
+    queries = spark.createDataFrame([(i, say(rng.integers(0, 90))) for i in range(9)] + [(20, None), (21, "NNNN" * 9)], "qid long, seq string")
+    whole = sorted(tuple(x) for x in taxonomy.TaxonomyDb.build(refs, k=4).assign(queries, bootstraps=True).collect())
+    monkeypatch.setattr(taxonomy, "QUERIES", 2)
+    monkeypatch.setattr(taxonomy, "_LETTERS", 300)
+    assert sorted(tuple(x) for x in taxonomy.TaxonomyDb.build(refs.repartition(5), k=4).assign(queries, bootstraps=True).collect()) == whole
+    assert len(whole) == 11 and [x[1] for x in whole if x[0] in (20, 21)] == [None, None]
+    with pytest.raises(ValueError, match="no references"):
+        taxonomy.TaxonomyDb.build(refs.where("false"))
+    with pytest.raises(ValueError, match="between"):
+        taxonomy.classify_best(queries, refs, 17)
+
+
 def test_species(spark):
     refs = spark.createDataFrame([("L acidophilus x", "ACGTTT"), ("L johnsonii", "ACGTTT"), ("M one", "CCCCCA"), ("lonely", "GGGGGG")], "description string, seq string")
     queries = spark.createDataFrame([(1, "acgttt"), (2, "TGGGGG"), (3, "CCCCCT"), (4, "GGGGGG")], "qid long, seq string")

@@ -59,7 +59,7 @@ def test_fasta_and_lineages(spark, tmp_path):
 def test_tables_out(spark):
     t = spark.createDataFrame([("x", "AC", 1), ("y", "GG", 5)], "sample string, seq string, cnt long")
     assert [r["value"] for r in fasta.table_tsv(t).orderBy("place").collect()] == ["sample\t4747\t4143", "x\t0\t1", "y\t5\t0"]
-    assert json.loads(fasta.table_json(t)) == {"samples": ["x", "y"], "sequences": ["4747", "4143"], "counts": [[0, 1], [5, 0]]}
+    assert json.loads(fasta.table_json(t).first()[0]) == {"samples": ["x", "y"], "sequences": ["4747", "4143"], "counts": [[0, 1], [5, 0]]}
     u = dereplicate.ranked(t.groupBy("seq").agg({"cnt": "sum"}).toDF("seq", "cnt"), by=None)
     assert [r["value"] for r in fasta.uniques_fasta(u, 1).orderBy("rank").collect()] == [">seq1;size=5;\nG\nG", ">seq2;size=1;\nA\nC"]
 

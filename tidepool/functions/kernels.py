@@ -66,7 +66,14 @@ def compared(df: DataFrame, a: str, b: str, schema: str, compare: Callable[[np.n
             arrays = [batch.column(c) for c in names] + [pa.array(o, pa.int32()) for o in out]
             yield pa.RecordBatch.from_arrays(arrays, [*names, *(f.name for f in added.fields)]).filter(ok)
 
-    return df.mapInArrow(run, StructType([*keep, *added.fields]))
+    return map_arrow(df, run, StructType([*keep, *added.fields]))
+
+
+def map_arrow(df: DataFrame, run: Callable, schema) -> DataFrame:
+    """df.mapInArrow for tables with any column names: Spark takes a dot in a name for a field's, so such
+    columns have other names in the batches."""
+    names = [f"_{i}" if set(c) & set(".`") else c for i, c in enumerate(df.columns)]
+    return (df if names == df.columns else df.toDF(*names)).mapInArrow(run, schema)
 
 
 def codes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

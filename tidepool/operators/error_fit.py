@@ -9,10 +9,13 @@ import json
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from tidepool.operators.errors import first_reads, transition_counts
+from tidepool.functions.kernels import codes
+from tidepool.operators.errors import _BASE, first_reads, transition_counts
 from tidepool.operators.quality import MAX_QUAL, detect_platform
 
 Q = np.arange(MAX_QUAL)
@@ -213,3 +216,42 @@ def learn_errors(reads: DataFrame, config: ErrorConfig = ErrorConfig()) -> Error
 def rates_table(model: DataFrame) -> DataFrame:
     """(q, rate): mean mismatch probability at each score of a model's table."""
     return model.where("t <> o").groupBy("q").agg(F.avg("p").alias("rate"))
+
+
+#: Bases that a read is taken to have, and the bounds of the number of reads that bases are turned into.
+READ_BASES, LEAST_READS, MOST_READS = 150, 10_000, 10_000_000
+
+
+def reads_of_bases(n_bases: float) -> int:
+    return int(min(max(int(n_bases / READ_BASES + 0.5), LEAST_READS), MOST_READS))
+
+
+def learn_errors_from_bases(reads: DataFrame, n_bases: float = 1e8, err_fun: str = "auto") -> ErrorModel:
+    """learn_errors for a number of bases; a function that isn't known is an error, but where learning fails
+    the model is the scores' own."""
+    kind = ALIASES.get(err_fun, err_fun)
+    if kind not in ("auto", "loess", "binned", "pacbio", "logistic"):
+        raise ValueError(f"no such error function: {err_fun}")
+    try:
+        return learn_errors(reads, ErrorConfig(n_reads=reads_of_bases(n_bases), method=kind))
+    except (ValueError, ArithmeticError):
+        return ErrorModel(illumina(), 0, "illumina")
+
+
+def likelihoods(pairs: DataFrame, model: ErrorModel) -> DataFrame:
+    """pairs(true, seen, qual, ...) with `log_p`, the log probability of the read given its template, over
+    the shortest of the three."""
+    log_matrix, kind = model.log_matrix, StructType([*pairs.schema.fields, StructField("log_p", DoubleType())])
+
+    def run(batches):
+        for batch in batches:
+            (t, n_t), (s, n_s), (q, n_q) = (codes(batch.column(c)) for c in ("true", "seen", "qual"))
+            n = np.minimum(np.minimum(n_t, n_s), n_q)
+            row = np.repeat(np.arange(len(n)), n)
+            place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            letter = lambda x, m: x[np.repeat(np.cumsum(m) - m, n) + place].astype(np.int64)
+            cell = _BASE[np.minimum(letter(t, n_t), 255)] * 4 + _BASE[np.minimum(letter(s, n_s), 255)]
+            logs = log_matrix[cell, np.clip(letter(q, n_q) - 33, 0, MAX_QUAL - 1)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.bincount(row, logs, len(n)))], kind.names)
+
+    return pairs.mapInArrow(run, kind)

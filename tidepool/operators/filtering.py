@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType, _parse_datatype_string
 
-from tidepool.functions.kernels import matrices
+from tidepool.functions.kernels import map_arrow, matrices
 
 #: Probability of a wrong base at each score; beyond these it is below every sum's last digit.
 _PROBABILITY = 10.0 ** (-np.arange(256) / 10.0)
@@ -74,7 +74,7 @@ def trimmed(reads: DataFrame, config: FilterConfig) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, *more], names)
 
     names = [*reads.columns, *added.names]
-    return reads.mapInArrow(run, StructType([*reads.schema.fields, *added.fields]))
+    return map_arrow(reads, run, StructType([*reads.schema.fields, *added.fields]))
 
 
 def cut(column: str) -> Column:

@@ -88,3 +88,12 @@ def trim_primers(reads: DataFrame, config: PrimerConfig) -> DataFrame:
 
 def primer_stats(reads: DataFrame, config: PrimerConfig) -> DataFrame:
     return located(reads, config).groupBy("sample").agg(F.count("*").alias("reads_in"), F.count_if("passes").alias("reads_out"))
+
+
+def remove_primers(reads: DataFrame, fwd: str = "", rev: str = "", max_mismatches: int = 2, min_overlap: int = 4, orient: bool = True, allow_indels: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(reads without primers, stats) with the defaults of the stepwise interface. `orient` is accepted and
+    has no effect; indels are an error, as primers are compared letter by letter."""
+    if allow_indels:
+        raise ValueError("allow_indels is not supported: primers are compared letter by letter")
+    config = PrimerConfig(fwd, rev, max_mismatches, min_overlap)
+    return trim_primers(reads, config), primer_stats(reads, config)

@@ -55,3 +55,21 @@ def merge_tables(tables: list[DataFrame], repeats: str = "error", try_rc: bool =
     wrong = F.raise_error(F.concat(F.lit("two tables have the sample "), F.col("sample"))).cast("bigint")
     checked = whole.join(owners, "sample").withColumn("cnt", F.when(F.col("tables") > 1, wrong).otherwise(F.col("cnt")))
     return checked.groupBy("sample", "seq").agg(F.sum("cnt").alias("cnt"))
+
+
+def get_uniques(found: DataFrame) -> DataFrame:
+    """(seq, cnt) of what any step gives: distinct reads (cnt), variants (abundance), or merged pairs
+    (sequence, abundance, accept), of which those count that are accepted."""
+    names = set(found.columns)
+    if "accept" in names:
+        found = found.where("accept")
+    seq = next((c for c in ("seq", "sequence") if c in names), None)
+    n = next((c for c in ("cnt", "abundance") if c in names), None)
+    if not seq or not n:
+        raise ValueError("neither distinct reads nor variants nor merged pairs")
+    return found.select(F.col(seq).alias("seq"), F.col(n).alias("cnt"))
+
+
+def get_sequences(found: DataFrame) -> DataFrame:
+    """(seq), a row for each row of get_uniques."""
+    return get_uniques(found).select("seq")

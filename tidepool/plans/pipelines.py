@@ -33,14 +33,26 @@ class PipelineConfig:
     chimeras_first: bool = False  # judge each sample's copy of a variant by itself, before summing
 
 
+#: The preset of the benchmark: a model for each mate, priors shared by all samples.
+BENCH = PipelineConfig(
+    fwd=FilterConfig(trunc_len=230, min_len=150, max_ee=3.0), rev=FilterConfig(trunc_len=210, min_len=150, max_ee=5.0), errors=ErrorConfig(n_reads=20_000),
+    merge=MergeConfig(min_overlap=12), pool="pseudo", separate_errors=True,
+)
+
 _DENOISERS = {"many": denoise, "pseudo": denoise_pseudo, "pooled": denoise_pooled}
 
 
-def _learn(reads: DataFrame, config: PipelineConfig) -> ErrorModel:
+def learning_reads(reads: DataFrame, config: PipelineConfig) -> DataFrame:
+    """The first filtered reads of each sample that errors are learned from."""
+    if not config.errors.n_reads:
+        return reads
     n = reads.select("sample").distinct().count()
-    most = per_file(config.errors.n_reads, n, config.least_reads)
     # A record's number may have gaps and need not count its sample's reads, so reads are counted.
-    return learn_errors(first_of_each(reads, most) if config.errors.n_reads else reads, config.errors)
+    return first_of_each(reads, per_file(config.errors.n_reads, n, config.least_reads))
+
+
+def _learn(reads: DataFrame, config: PipelineConfig) -> ErrorModel:
+    return learn_errors(learning_reads(reads, config), config.errors)
 
 
 def single(reads: DataFrame, config: PipelineConfig = PipelineConfig(), model: ErrorModel | None = None) -> DataFrame:
@@ -54,19 +66,30 @@ def single(reads: DataFrame, config: PipelineConfig = PipelineConfig(), model: E
     return remove_chimeras(asvs.groupBy("seq").agg(F.sum("abundance").alias("abundance")).withColumn("all", F.lit(1)), "all").select("seq", "abundance")
 
 
-def samples(fwd: DataFrame, rev: DataFrame | None = None, config: PipelineConfig = PipelineConfig(), model: ErrorModel | None = None) -> DataFrame:
-    """(sample, seq, abundance): filter, learn (from the forward reads, for both mates), denoise, merge,
-    remove each sample's chimeras."""
-    if rev is None:
-        kept = stored(filter_reads(fwd, config.fwd).select("sample", "rec", "seq", "qual"), "filtered")
-        return remove_chimeras(stored(_DENOISERS[config.pool](dereplicate(kept), model or _learn(kept, config), config.denoise), "variants"))
+def merged_variants(fwd: DataFrame, rev: DataFrame, config: PipelineConfig, model: ErrorModel | None = None) -> DataFrame:
+    """(sample, seq, abundance) of mates: filter, learn (from the forward reads for both, or from each),
+    denoise, merge."""
     pairs = stored(filter_pairs(fwd, rev, config.fwd, config.rev), "filtered")
     side = lambda s: pairs.select("sample", "rec", F.col(f"{s}_seq").alias("seq"), F.col(f"{s}_qual").alias("qual"))
     model = model or _learn(side("fwd"), config)
     other = _learn(side("rev"), config) if config.separate_errors else model
     run = _DENOISERS[config.pool]
     merged = merge_pairs(run(dereplicate(side("fwd")), model, config.denoise), run(dereplicate(side("rev")), other, config.denoise), config.merge)
-    return remove_chimeras(stored(merged.groupBy("sample", "seq").agg(F.sum("abundance").alias("abundance")), "variants"))
+    return stored(merged.groupBy("sample", "seq").agg(F.sum("abundance").alias("abundance")), "variants")
+
+
+def samples(fwd: DataFrame, rev: DataFrame | None = None, config: PipelineConfig = PipelineConfig(), model: ErrorModel | None = None) -> DataFrame:
+    """(sample, seq, abundance): variants of each sample without its chimeras."""
+    if rev is None:
+        kept = stored(filter_reads(fwd, config.fwd).select("sample", "rec", "seq", "qual"), "filtered")
+        return remove_chimeras(stored(_DENOISERS[config.pool](dereplicate(kept), model or _learn(kept, config), config.denoise), "variants"))
+    return remove_chimeras(merged_variants(fwd, rev, config, model))
+
+
+def bench_pipeline(fwd: DataFrame, rev: DataFrame, config: PipelineConfig = BENCH) -> DataFrame:
+    """(seq, abundance) over all samples, chimeras judged by the totals."""
+    totals = merged_variants(fwd, rev, config).groupBy("seq").agg(F.sum("abundance").alias("abundance"))
+    return remove_chimeras(totals.withColumn("all", F.lit(1)), "all").select("seq", "abundance")
 
 
 def run_pipeline(spark: SparkSession, paths: list[str], output_dir: str | None = None, trunc_len: int = 0, max_ee: float = 2.0, omega_a: float = 1e-40) -> dict[str, int]:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +12,7 @@ from tidepool.functions import sequences as S
 from tidepool.operators import chimera, denoise, dereplicate, error_fit, errors, filtering, merge, primers, quality, seqtable, species, taxonomy
 from tidepool.plans import pipelines, reads
 from tidepool.sources import fasta, fastq
+from tidepool.tables import new_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -342,3 +344,106 @@ def run_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def run_pipeline_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pipelines.samples(*reads.amplicon_mates(spark, sf_dir), PIPELINE)
+
+
+# Files: the tables are written to the shared folder and read back.
+
+
+def _files(spark: SparkSession, sf_dir: str, compression: str) -> DataFrame:
+    path = new_path(spark, "fastq")
+    fastq.write_fastq(reads.reads(spark, sf_dir), path, compression)
+    return fastq.read_fastq(spark, path)
+
+
+@query
+def fastq_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _files(spark, sf_dir, "none").select("id", "seq", "qual")
+
+
+@query
+def fastq_gzip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _files(spark, sf_dir, "gzip").select("id", "seq", "qual")
+
+
+@query
+def fastq_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark, "fastq")
+    fastq.write_fastq(reads.reads(spark, sf_dir).coalesce(1), path)  # one file, to have a first record
+    return fastq.read_fastq(spark, path, n=500).select("rec", "id", "seq")
+
+
+@query
+def fasta_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark, "fasta")
+    fasta.write_fasta(dereplicate.ranked(_counted(spark, sf_dir).groupBy("seq").agg(F.sum("cnt").alias("cnt")), by=None), path, 25)
+    return fasta.read_fasta(spark, path).select("id", "description", "seq")
+
+
+@query
+def lineage_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path, own = new_path(spark, "lineages"), fasta.lineage_from_headers(reads.references(spark, sf_dir))
+    own.select(fasta.lineage_lines(own).alias("value")).write.text(path)
+    return fasta.read_lineage_tsv(spark, path).select("id", F.array_join("lineage", "|").alias("lineage"))
+
+
+@query
+def lineage_described(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Without the fallback to ids, references without a description have no lineage."""
+    refs = reads.references(spark, sf_dir).withColumn("description", F.when(F.col("ref_idx") % 3 > 0, F.col("description")))
+    return fasta.lineage_from_headers(refs, id_fallback=False).select("id", F.array_join("lineage", "|").alias("lineage"))
+
+
+@query
+def sequence_table_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = _counted(spark, sf_dir).groupBy("sample", F.substring("seq", 1, 12).alias("seq")).agg(F.sum("cnt").alias("cnt"))
+    more = t.select("sample").union(spark.createDataFrame([("empty",)], "sample string"))
+    return fasta.table_json(t, more)
+
+
+@query
+def sequence_table_empty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = _counted(spark, sf_dir).where("sample <> 's3'")
+    return seqtable.with_samples(t, _counted(spark, sf_dir).select("sample"))
+
+
+@query
+def model_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = error_fit.ErrorModel.loads(error_fit.ErrorModel(error_fit.pacbio(), 7, "pacbio").dumps())
+    return spark.createDataFrame([(i, p, model.n_reads) for i, p in enumerate(model.flat())], "place long, p double, n_reads long").withColumn("p", F.round("p", 9))
+
+
+@query
+def read_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each read as a read of its own reverse."""
+    pairs = reads.reads(spark, sf_dir).select("rec", F.reverse("seq").alias("true"), F.col("seq").alias("seen"), "qual")
+    return _rounded(error_fit.likelihoods(pairs, DEFAULT), 6, "log_p").select("rec", "log_p")
+
+
+@query
+def learning_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    config = pipelines.PipelineConfig(errors=error_fit.ErrorConfig(n_reads=30_000), least_reads=1_000)
+    kept = filtering.filter_reads(reads.amplicons(spark, sf_dir), filtering.FilterConfig(max_ee=0.08))
+    return pipelines.learning_reads(kept, config).select("sample", "rec")
+
+
+@query
+def remove_primers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return primers.remove_primers(reads.reads(spark, sf_dir), "TTACGT", max_mismatches=2, min_overlap=4)[0].select("sample", "rec", "seq")
+
+
+@query
+def denoise_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return denoise.cluster(_uniques(spark, sf_dir), DEFAULT)
+
+
+@query
+def variant_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Variants over all samples, by way of merged pairs under their stepwise names."""
+    return seqtable.get_uniques(merge.merger_table(merge.merge_pairs(*_sides(spark, sf_dir), OVERLAP))).groupBy("seq").agg(F.sum("cnt").alias("cnt"))
+
+
+@query
+def bench_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    short = filtering.FilterConfig(trunc_len=36, max_ee=2.0)
+    config = replace(pipelines.BENCH, fwd=short, rev=replace(short, max_ee=3.0))
+    return pipelines.bench_pipeline(*reads.amplicon_mates(spark, sf_dir), config)

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidepool.functions.sequences import hex_key
-from tidepool.sources.fastq import lines
+from tidepool.sources.fastq import lines, listed
 
 LEVELS = ["kingdom", "phylum", "class", "order", "family", "genus", "species"]
 REFERENCE = "ref_idx bigint, id string, description string, seq string"
@@ -37,18 +37,40 @@ def fasta_records(path: str) -> Iterator[tuple[str, str | None, str]]:
         yield record()
 
 
+#: Records and letters that a reader hands on at a time.
+_RECORDS, _LETTERS = 4096, 8 << 20
+
+
+def _batches(rows: Iterator[tuple], types: list[pa.DataType], names: list[str]) -> Iterator[pa.RecordBatch]:
+    """Batches of bounded size, so that a file is never held as a whole."""
+    held, size = [], 0
+    for r in rows:
+        held.append(r)
+        size += len(r[-1] or "")
+        if len(held) == _RECORDS or size > _LETTERS:
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*held), types)], names)
+            held, size = [], 0
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*held), types)], names)
+
+
+def _files(spark: SparkSession, path: str, ends: tuple[str, ...]) -> DataFrame:
+    """A row, and a task, for each file."""
+    files = listed(path, ends)
+    return spark.createDataFrame(list(enumerate(files)), "no long, path string").repartition(max(1, len(files)), "no")
+
+
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
-    """refs(ref_idx, id, description, seq), read where the task runs; ref_idx is the place in the file."""
+    """refs(ref_idx, id, description, seq) of a file, or of a folder's files, a task for each; ref_idx is the
+    place in the file, with the file's number before it (times 2^32)."""
     names = [x.split()[0] for x in REFERENCE.split(", ")]
 
     def run(batches):
         for batch in batches:
-            for p in batch.column(0).to_pylist():
-                rows = [(i, *r) for i, r in enumerate(fasta_records(p))]
-                columns = list(zip(*rows)) or [()] * 4
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, (pa.int64(), pa.string(), pa.string(), pa.string()))], names)
+            for no, p in zip(*(c.to_pylist() for c in batch.columns)):
+                yield from _batches((((no << 32) + i, *r) for i, r in enumerate(fasta_records(p))), [pa.int64(), pa.string(), pa.string(), pa.string()], names)
 
-    return spark.createDataFrame([(path,)], "path string").mapInArrow(run, REFERENCE)
+    return _files(spark, path, (".fasta", ".fasta.gz", ".fa", ".fa.gz")).mapInArrow(run, REFERENCE)
 
 
 def cut_lineage(text: Column) -> Column:
@@ -74,13 +96,15 @@ def lineage_from_lines(rows: DataFrame) -> DataFrame:
 
 
 def read_lineage_tsv(spark: SparkSession, path: str) -> DataFrame:
+    """lineage(id, lineage) of a file, or of a folder's files; of a repeated id the last line of the last
+    file counts."""
+
     def run(batches):
         for batch in batches:
-            for p in batch.column(0).to_pylist():
-                rows = [(i, x.decode()) for i, x in enumerate(lines(p), 1)]
-                yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows], pa.int64()), pa.array([x for _, x in rows], pa.string())], ["line_no", "value"])
+            for no, p in zip(*(c.to_pylist() for c in batch.columns)):
+                yield from _batches((((no << 32) + i, x.decode()) for i, x in enumerate(lines(p), 1)), [pa.int64(), pa.string()], ["line_no", "value"])
 
-    return lineage_from_lines(spark.createDataFrame([(path,)], "path string").mapInArrow(run, "line_no bigint, value string"))
+    return lineage_from_lines(_files(spark, path, (".tsv", ".tsv.gz", ".txt")).mapInArrow(run, "line_no bigint, value string"))
 
 
 def uniques_fasta(uniques: DataFrame, width: int = 20_000, ids: Column | None = None, by: str = "rank") -> DataFrame:
@@ -94,28 +118,42 @@ def write_fasta(uniques: DataFrame, path: str, width: int = 20_000, mode: str =
     uniques_fasta(uniques, width).sort("rank").select("value").write.mode(mode).text(path)
 
 
-def table_columns(table: DataFrame) -> list[str]:
-    """Sequences of a long table (sample, seq, cnt), the commonest first."""
-    return [r["seq"] for r in table.groupBy("seq").agg(F.sum("cnt").alias("n")).orderBy(F.desc("n"), "seq").collect()]
-
-
-def table_tsv(table: DataFrame) -> DataFrame:
-    """(place, value): a header `sample TAB hex...` and a line for each sample. Cells are gathered as a map
-    for each sample instead of pivoted, so there is no limit to the columns but a line's length."""
+def _cells(table: DataFrame, samples: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """(one row with the columns' hex names, the commonest first; (sample, cells: counts by name))."""
     order = table.groupBy("seq").agg(F.sum("cnt").alias("n")).select(hex_key(F.col("seq")).alias("hex"), (-F.col("n")).alias("less"), "seq")
     names = order.agg(F.transform(F.array_sort(F.collect_list(F.struct("less", "seq", "hex"))), lambda x: x["hex"]).alias("names"))
     cells = table.groupBy("sample").agg(F.map_from_entries(F.collect_list(F.struct(hex_key(F.col("seq")), F.col("cnt")))).alias("cells"))
-    rows = cells.crossJoin(F.broadcast(names)).select(F.lit(1).alias("kind"), "sample", F.concat_ws("\t", F.col("sample"), F.transform("names", lambda x: F.coalesce(F.col("cells")[x], F.lit(0)).cast("string"))).alias("value"))
+    if samples is not None:
+        cells = samples.select("sample").distinct().join(cells, "sample", "left")
+    return names, cells
+
+
+def _counts() -> Column:
+    """The counts of a row's cells in the order of its names."""
+    own = F.coalesce(F.col("cells"), F.create_map().cast("map<string,bigint>"))
+    return F.transform("names", lambda x: F.coalesce(F.try_element_at(own, x), F.lit(0)))
+
+
+def table_tsv(table: DataFrame, samples: DataFrame | None = None) -> DataFrame:
+    """(place, value): a header `sample TAB hex...` and a line for each sample, also for those of
+    samples(sample) that the table lacks. Cells are gathered as a map for each sample instead of pivoted, so
+    there is no limit to the columns but a line's length."""
+    names, cells = _cells(table, samples)
+    rows = cells.crossJoin(F.broadcast(names)).select(F.lit(1).alias("kind"), "sample", F.concat_ws("\t", F.col("sample"), F.transform(_counts(), lambda n: n.cast("string"))).alias("value"))  # names is one row
     head = names.select(F.lit(0).alias("kind"), F.lit("").alias("sample"), F.concat_ws("\t", F.lit("sample"), F.col("names")).alias("value"))
     place = F.row_number().over(Window.orderBy("kind", "sample"))
     return head.union(rows).select((place - 1).alias("place"), "value")
 
 
-def table_json(table: DataFrame) -> str:
-    """One object with samples, sequences (hex) and counts; the table is a finished result, and small."""
-    import json
+def table_json(table: DataFrame, samples: DataFrame | None = None) -> DataFrame:
+    """(value): one object with samples, sequences (hex) and counts. It is one row by its nature, made where
+    the rows are; nothing comes to the driver."""
+    names, cells = _cells(table, samples)
+    lines_ = cells.crossJoin(F.broadcast(names)).select(F.struct(F.col("sample"), _counts().alias("counts")).alias("line"), "names")  # names is one row
+    whole = lines_.agg(F.array_sort(F.collect_list("line")).alias("lines"), F.first("names").alias("names"))
+    field = lambda f: F.transform("lines", lambda x: x[f])
+    return whole.select(F.to_json(F.struct(field("sample").alias("samples"), F.col("names").alias("sequences"), field("counts").alias("counts"))).alias("value"))
+
 
-    columns = table_columns(table)
-    cells = {(r["sample"], r["seq"]): r["cnt"] for r in table.collect()}
-    samples = sorted({s for s, _ in cells})
-    return json.dumps({"samples": samples, "sequences": [c.encode().hex() for c in columns], "counts": [[cells.get((s, c), 0) for c in columns] for s in samples]})
+def lineage_lines(lineages: DataFrame) -> Column:
+    return F.concat_ws("\t", F.col("id"), F.array_join("lineage", ";"))

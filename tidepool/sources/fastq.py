@@ -6,7 +6,6 @@ compressed is told by its first bytes and not by its name. A partition is read r
 
 from __future__ import annotations
 
-import glob
 import gzip
 import os
 from collections.abc import Iterator
@@ -28,9 +27,14 @@ class FileReads(InputPartition):
         self.path, self.sample, self.mate = path, sample, mate
 
 
+def file_system(path: str) -> tuple[pafs.FileSystem, str]:
+    """The file system of a path or URI, and its name there."""
+    return pafs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pafs.LocalFileSystem(), os.path.abspath(path))
+
+
 def open_plain(path: str):
     """A byte stream of a file, decompressed if it is gzip."""
-    fs, name = (pafs.FileSystem.from_uri(path)) if "://" in path else (pafs.LocalFileSystem(), os.path.abspath(path))
+    fs, name = file_system(path)
     with fs.open_input_stream(name, compression=None) as f:
         packed = f.read(2) == b"\x1f\x8b"
     stream = fs.open_input_stream(name, compression=None)
@@ -111,11 +115,14 @@ def stem(path: str) -> str:
     return name
 
 
-def listed(path: str) -> list[str]:
-    """A file, or the FASTQ files of a folder, in order of their names."""
-    if os.path.isdir(path):
-        return sorted(p for p in glob.glob(os.path.join(glob.escape(path), "*")) if p.endswith((".fastq", ".fastq.gz", ".fq", ".fq.gz")))
-    return [path]
+def listed(path: str, ends: tuple[str, ...] = (".fastq", ".fastq.gz", ".fq", ".fq.gz")) -> list[str]:
+    """A file, or a folder's files of the kind and the part files that Spark wrote there, in order of their
+    names; in any file system that pyarrow knows."""
+    fs, name = file_system(path)
+    if fs.get_file_info(name).type != pafs.FileType.Directory:
+        return [path]
+    found = [f for f in fs.get_file_info(pafs.FileSelector(name)) if f.type == pafs.FileType.File and (f.base_name.endswith(ends) or f.base_name.startswith("part-"))]
+    return [f"{path.rstrip('/')}/{n}" for n in sorted(f.base_name for f in found)]
 
 
 def read_fastq(spark: SparkSession, paths: str | list[str], samples: list[str] | None = None, mate: int = 1, n: int = 0) -> DataFrame:
@@ -131,9 +138,9 @@ def fastq_lines(reads: DataFrame) -> Column:
     return F.concat_ws("\n", F.concat(F.lit("@"), F.col("id")), F.col("seq"), F.lit("+"), F.col("qual"))
 
 
-def write_fastq(reads: DataFrame, path: str) -> None:
-    """A folder of plain FASTQ part files, in the order of rec within each part."""
-    reads.sortWithinPartitions("rec").select(fastq_lines(reads).alias("value")).write.mode("overwrite").text(path)
+def write_fastq(reads: DataFrame, path: str, compression: str = "none") -> None:
+    """A folder of FASTQ part files, plain or gzip, in the order of rec within each part."""
+    reads.sortWithinPartitions("rec").select(fastq_lines(reads).alias("value")).write.mode("overwrite").option("compression", compression).text(path)
 
 
 def per_file(n: int, files: int, least: int) -> int:

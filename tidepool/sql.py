@@ -316,3 +316,26 @@ ORACLES |= {
     "run_pipeline": _recursive(_pipeline_single()),
     "run_pipeline_samples": _recursive(_pipeline_samples()),
 }
+
+_QUALITIES = "array_to_string(list_transform(q, lambda x: chr((x + 33)::INT)), '')"
+_LOG = "ln(greatest(CASE WHEN substr(seq, length(seq) + 1 - i, 1) = substr(seq, i, 1) THEN 1 - pow(10.0, -least(q[i], 40) / 10.0) ELSE pow(10.0, -least(q[i], 40) / 10.0) / 3 END, 1e-300))"
+_START = f"(list_filter(range(least(11, length(seq)) - 4 + 1), lambda i: {ham('substr(seq, i + 1, least(6, least(11, length(seq)) - i))', "substr('TTACGT', 1, least(6, least(11, length(seq)) - i))")} <= 2))[1]"
+_TABLE = "u AS (SELECT sample, left(seq, 12) AS seq, count(*) AS cnt FROM amp GROUP BY ALL), o AS (SELECT seq, row_number() OVER (ORDER BY sum(cnt) DESC, seq) AS p FROM u GROUP BY seq), s AS (SELECT DISTINCT sample FROM u UNION ALL SELECT 'empty')"
+
+ORACLES |= {
+    "fastq_files": ctes("reads") + f"SELECT 'r' || rec AS id, seq, {_QUALITIES} AS qual FROM reads",
+    "fastq_gzip": ctes("reads") + f"SELECT 'r' || rec AS id, seq, {_QUALITIES} AS qual FROM reads",
+    "fastq_first": ctes("reads") + "SELECT row_number() OVER (ORDER BY rec) - 1 AS rec, 'r' || rec AS id, seq FROM reads QUALIFY row_number() OVER (ORDER BY rec) <= 500",
+    "fasta_files": ctes("amp") + "SELECT 'seq' || row_number() OVER (ORDER BY count(*) DESC, seq) || ';size=' || count(*) || ';' AS id, NULL AS description, seq FROM amp GROUP BY seq",
+    "lineage_file": ORACLES["lineage"],
+    "lineage_described": ctes("refs") + "SELECT id, array_to_string(list_transform(string_split(description, ';'), lambda x: trim(x)), '|') AS lineage FROM refs WHERE ref_idx % 3 > 0",
+    "sequence_table_json": ctes("amp", more=_TABLE) + """SELECT '{"samples":["' || (SELECT string_agg(sample, '","' ORDER BY sample) FROM s) || '"],"sequences":["' || (SELECT string_agg(lower(hex(seq)), '","' ORDER BY p) FROM o) || '"],"counts":['
+  || (SELECT string_agg(line, ',' ORDER BY sample) FROM (SELECT s.sample, '[' || string_agg(coalesce(cnt, 0)::VARCHAR, ',' ORDER BY p) || ']' AS line FROM s CROSS JOIN o LEFT JOIN u ON u.sample = s.sample AND u.seq = o.seq GROUP BY s.sample)) || ']}' AS value""",
+    "sequence_table_empty": "SELECT sample, CASE WHEN sample = 's3' THEN 0 ELSE n END AS total FROM (SELECT 's' || l_suppkey % 8 AS sample, count(*) AS n FROM lineitem GROUP BY ALL)",
+    "model_file": ctes("grid") + "SELECT (t * 4 + o) * 41 + q AS place, round(CASE WHEN t = o THEN 1 - e ELSE e / 3 END, 9) AS p, 7 AS n_reads FROM (SELECT *, least(greatest(pow(10.0, -q / 10.0), 1e-6), 0.5) AS e FROM grid)",
+    "read_likelihood": ctes("reads") + f"SELECT rec, round(coalesce(list_sum(list_transform(range(1, length(seq) + 1), lambda i: {_LOG})), 0), 6) AS log_p FROM reads",
+    "learning_reads": ctes("amp") + f"SELECT sample, rec FROM (SELECT sample, rec, row_number() OVER (PARTITION BY sample ORDER BY rec) AS r FROM amp WHERE {ee('q')} <= 0.08) WHERE r <= greatest(30000 // 8, 1000)",
+    "remove_primers": ctes("reads") + f"SELECT sample, rec, substr(seq, s::INT + 1) AS seq FROM (SELECT sample, rec, seq, s + least(6, least(11, length(seq)) - s) AS s FROM (SELECT *, {_START} AS s FROM reads WHERE length(seq) >= 4)) WHERE s < length(seq)",
+    "denoise_clusters": _recursive(ctes("grid", "amp", more=f"{_AMP}, {_uniques('du0', 'src', 60)}, {_denoised('d', 'du0', _ILLUMINA)}")) + "SELECT g AS sample, seq, centre, cnt FROM da",
+    "variant_totals": f"SELECT seq, sum(abundance)::BIGINT AS cnt FROM ({ORACLES['merge_pairs']}) GROUP BY seq",
+}
