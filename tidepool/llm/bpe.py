@@ -168,7 +168,6 @@ class Memo(dict):
 
 
 _ODD = regex.compile(r" [\s\x1c-\x1f]")
-_CLASSES = {"letter": regex.compile(r"\p{L}+"), "number": regex.compile(r"\p{N}+"), "space": regex.compile(r"\s+"), "other": regex.compile(r"[^\s\p{L}\p{N}]+")}
 #: Characters after a match that can still change it.
 _TAIL = 3
 
@@ -180,31 +179,41 @@ def pack(ids: Iterable[int]) -> bytes:
 class Encoder:
     """Streaming encoder: feed() parts of a text and close() it; each returns packed little-endian ids.
 
-    encode() drives it over a whole text. A blank before a character that isn't white space always begins
-    a pre-token, so plain blocks are cut there and their pieces looked up in bounded memos; blocks with
-    other white space, or without such blanks, go through the pattern match by match.
+    Every text goes through it. A blank before a character that isn't white space always begins a pre-token,
+    so what stands before the last such blank is emitted, and only the rest is held. A pre-token of at most
+    `lookahead` bytes has no stable token before it ends, so its ids are those of all its merges and can be
+    remembered in bounded memos; a longer one goes through PieceStream, which emits as tokens become stable.
+    Where characters beyond U+0530 stand, classes of characters are the library's own.
     """
 
     def __init__(self, merges: Merges, block: int = BLOCK, memo: int = MEMO):
         self.merges, self.block, self.pattern = merges, block, regex.compile(PATTERN)
-        self.word = Memo(lambda w: pack(self._long(w.encode()) if len(w) > 256 else merges.tokens(w.encode())), memo)
+        self.word = Memo(self._word, memo)
         self.bare = Memo(lambda p: self._pieces(p), memo // 8)
         self.spaced = Memo(lambda p: self._pieces(f" {p}"), memo // 2)
         self.split = ByteLevel(add_prefix_space=False, use_regex=True).pre_tokenize_str
+        self.kinds: dict[str, str] = {}
         self._reset()
 
     def _reset(self) -> None:
         self.held, self.run, self.kind = "", None, ""
 
-    def _long(self, data: bytes) -> list[int]:
+    def _word(self, piece: str) -> bytes:
+        data = piece.encode()
+        if len(data) <= self.merges.lookahead:
+            return pack(self.merges.tokens(data))
         stream = PieceStream(self.merges, self.block)
-        return [*stream.feed(data), *stream.close()]
+        return pack([*stream.feed(data), *stream.close()])
 
-    def _pieces(self, text: str) -> bytes:
+    def _matches(self, text: str) -> Iterator[tuple[int, int]]:
+        """Where the pre-tokens of a text begin and end."""
         if text.isascii() or max(text) < "\u0530":
-            return b"".join(map(self.word.__getitem__, self.pattern.findall(text)))
+            return (m.span() for m in self.pattern.finditer(text))
         # Beyond these scripts the library's tables of letters may be of another Unicode version than regex's.
-        return b"".join(self.word[text[i:j]] for _, (i, j) in self.split(text))
+        return (span for _, span in self.split(text))
+
+    def _pieces(self, text: str) -> bytes:
+        return b"".join([self.word[text[i:j]] for i, j in self._matches(text)])
 
     def _plain(self, text: str) -> bytes:
         """A block that begins and ends at pre-token boundaries."""
@@ -213,6 +222,21 @@ class Encoder:
         first, *rest = text.split(" ")
         return self.bare[first] + b"".join(map(self.spaced.__getitem__, rest))
 
+    def _kind(self, c: str) -> str:
+        """The class of a character as the library sees it: what it makes one pre-token with."""
+        if (got := self.kinds.get(c)) is None:
+            one = lambda text: len(self.split(text)) == 1
+            got = "letter" if one(f"a{c}") else "number" if one(f"1{c}") else "space" if one(f"\n{c}") else "other"
+            if len(self.kinds) > 100_000:
+                self.kinds.clear()
+            self.kinds[c] = got
+        return got
+
+    def _same(self, text: str, start: int, kind: str) -> int:
+        """Where a run of characters of one class ends."""
+        others = "".join(c for c in set(text[start:]) if self._kind(c) != kind)
+        return min((i for c in others if (i := text.find(c, start)) >= 0), default=len(text))
+
     def feed(self, text: str, last: bool = False) -> bytes:
         """Stable ids of what has come so far; a special token's string is one token."""
         out, buffer = [], self.held + text
@@ -238,33 +262,32 @@ class Encoder:
     def _stream(self, buffer: str, last: bool) -> bytes:
         out = []
         if self.run is not None:  # inside a pre-token longer than a block
-            m = _CLASSES[self.kind].match(buffer)
-            end = m.end() if m else 0
+            full = self._same(buffer, 0, self.kind)
+            end = full
             if self.kind == "space" and not (last and end == len(buffer)):
                 end = max(0, end - 1)  # the last blank of a run may belong to the next pre-token
             out.append(pack(self.run.feed(buffer[:end].encode())))
-            over = m is None or m.end() < len(buffer) or last
-            if not over:
+            if full == len(buffer) and not last:
                 self.held = buffer[end:]
                 return b"".join(out)
             out.append(pack(self.run.close()))
             self.run, buffer = None, buffer[end:]
         if last:
-            return b"".join([*out, self._pieces(buffer)])
+            return b"".join([*out, self._plain(buffer)])
         if (cut := self._cut(buffer)) > 0:
             out.append(self._plain(buffer[:cut]))
             buffer = buffer[cut:]
         if len(buffer) > self.block:  # no blank to cut at
             end = 0
-            for m in self.pattern.finditer(buffer):
-                if m.end() > len(buffer) - _TAIL:
+            for i, j in self._matches(buffer):
+                if j > len(buffer) - _TAIL:
                     break
-                out.append(self.word[m.group()])
-                end = m.end()
+                out.append(self.word[buffer[i:j]])
+                end = j
             buffer = buffer[end:]
             if len(buffer) > self.block:
-                start = 1 if buffer[0] == " " and not _CLASSES["space"].match(buffer, 1) else 0
-                self.kind = next(k for k, c in _CLASSES.items() if c.match(buffer, start))
+                start = 1 if buffer[0] == " " and self._kind(buffer[1]) != "space" else 0
+                self.kind = self._kind(buffer[start])
                 self.run = PieceStream(self.merges, self.block)
                 cut = len(buffer) - _TAIL
                 out.append(pack(self.run.feed(buffer[:cut].encode())))
@@ -280,8 +303,6 @@ class Encoder:
         return at
 
     def encode(self, text: str) -> bytes:
-        if len(text) <= self.block and not any(s in text for s in self.merges.special):
-            return self._plain(text)
         out = [self.feed(text[i : i + self.block]) for i in range(0, len(text), self.block)]
         out.append(self.close())
         return b"".join(out)
