@@ -6,6 +6,7 @@ import pytest
 
 import corpus_pipeline
 from tidepool.llm import entry, neardup, phrases
+from tidepool.llm import pipeline as stages
 from tidepool.llm.common import table
 
 DIR = "/root/testdata/sf0.001"
@@ -36,7 +37,7 @@ def test_stages_against_brute_force(spark):
     docs, before = table(spark, DIR, "documents"), None
     columns = docs.columns
     for name, stage in corpus_pipeline.STAGES:
-        before, docs = docs, corpus_pipeline.stored(stage(spark, docs, DIR), name)
+        before, docs = docs, stages.stored(stage(spark, docs, DIR), name)
         rows = before.select("doc_id", "text").collect()
         if name != "encoded":
             assert docs.columns == columns
@@ -51,21 +52,23 @@ def test_stages_against_brute_force(spark):
 
 
 def test_stages_on_odd_rows(spark):
-    odd = spark.createDataFrame([(1, None, "en", "x"), (2, "", None, "x"), (None, "word " * 60, "en", "x"), (3, "word " * 60, "en", "x")], "doc_id long, text string, lang string, source string")
+    odd = spark.createDataFrame([(1, None, "en", "x"), (2, "", None, "x"), (None, "word " * 60, "en", "x"), (3, "word " * 60, "en", "x")], "doc_id long, text string, lang string, `a.b` string")
     for df in (odd, odd.where("false")):
         for name, stage in corpus_pipeline.STAGES:
-            stage(spark, df, DIR).collect()
+            got = stage(spark, df, DIR)
+            got.collect()
+            assert name == "encoded" or got.columns == df.columns
 
 
 def test_language_ties_are_rejected(spark):
     rows = [(i, "the cat sat on the mat and the dog ran", "en") for i in range(5)] + [(i + 5, "le chat est sur la table et le chien court", "fr") for i in range(5)]
     docs = spark.createDataFrame([*rows, (20, "\u4f60\u597d \u4e16\u754c", None), (21, "12 34", None)], "doc_id long, text string, lang string")
-    assert {r["doc_id"] for r in corpus_pipeline.language(spark, docs, DIR).collect()} == set(range(10))
+    assert {r["doc_id"] for r in stages.language(spark, docs, DIR).collect()} == set(range(10))
 
 
 def test_contaminated_rows_go_whatever_their_id(spark):
     item = table(spark, DIR, "benchmark").where("size(split(text, ' ')) > 20").first()["text"]
     rows = [(None, item), (None, "clean words"), (7, item), (7, "other clean words"), (8, None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {(r["doc_id"], r["text"]) for r in corpus_pipeline.decontaminated(spark, docs, DIR).collect()}
+    got = {(r["doc_id"], r["text"]) for r in stages.decontaminated(spark, docs, DIR).collect()}
     assert got == {(None, "clean words"), (7, "other clean words"), (8, None)}

@@ -101,6 +101,49 @@ def test_gradient():
             assert abs(numeric - gradient[name].reshape(-1)[i]) < 3e-3 + 0.05 * abs(numeric), name
 
 
+def plain_score(net, text):
+    """The recurrence, the attention and the worst window, word by word and number by number."""
+    sig = lambda x: 1 / (1 + np.exp(-x))
+    p = {k: v.astype(float) for k, v in net.p.items()}
+    known = {int(c): i for i, c in enumerate(net.grams.codes) if i}
+
+    def vector(w):
+        marked = b"\x02" + w + b"\x03"
+        grams = [int.from_bytes(marked[i : i + n], "big") for n in toxic.GRAMS for i in range(len(marked) - n + 1)]
+        chars = sum((p["char"][known[g]] for g in grams if g in known), np.zeros(toxic.CHAR_DIM)) / max(len(grams), 1)
+        return np.concatenate([p["word"][net.number[w]] if w in net.number else np.zeros(toxic.WORD_DIM), chars])
+
+    def states(xs, side):
+        h, out = np.zeros(toxic.HIDDEN), []
+        for x in xs:
+            gate = x @ p[f"in_{side}"] + p[f"bias_{side}"]
+            n = toxic.HIDDEN
+            u = h @ p[f"zr_{side}"]
+            z, r = sig(gate[:n] + u[:n]), sig(gate[n : 2 * n] + u[n:])
+            h = z * h + (1 - z) * np.tanh(gate[2 * n :] + (r * h) @ p[f"n_{side}"])
+            out.append(h)
+        return out
+
+    w = phrases.words(text.encode())
+    best = 0.0
+    for i in range(0, max(1, len(w) - toxic.WINDOW + toxic.STRIDE), toxic.STRIDE) if w else ():
+        xs = [vector(x) for x in w[i : i + toxic.WINDOW]]
+        both = [np.concatenate(s) for s in zip(states(xs, "f"), states(xs[::-1], "b")[::-1])]
+        e = np.exp([float(np.tanh(s @ p["att"] + p["att_bias"]) @ p["query"][:, 0]) for s in both])
+        pooled = sum(a * s for a, s in zip(e / e.sum(), both))
+        best = max(best, float(sig(pooled @ p["out"][:, 0] + p["out_bias"][0])))
+    return best
+
+
+def test_scores_against_plain_loops(spark):
+    rng = random.Random(12)
+    say = lambda n: " ".join(rng.choice(["you", "idiot", "nice", "day", "Ünd", "scum", "x", "lower"]) for _ in range(n))
+    net = toxic.train([say(30).encode() for _ in range(40)], [i % 2 for i in range(40)], rounds=2)
+    texts = [say(n) for n in (0, 1, 5, 23, 24, 25, 36, 37, 90)] + ["unseen words only", "!!!"]
+    got = toxic.scores(net, [t.encode() for t in texts])
+    assert np.allclose(got, [plain_score(net, t) for t in texts], atol=1e-5)
+
+
 def test_windows_cover_everything():
     lens = np.array([0, 1, 24, 25, 100])
     at, owner = toxic.windows(lens, np.arange(lens.sum()), -1)
@@ -222,6 +265,10 @@ def test_template():
     t = Template("{% set a = 1 + 2 %}{{ 'x' ~ 2 if 2 > 1 else 'n' }}{%- for m in messages -%} {% if m.role == 'user' or false %}U:{{ m['text'] | trim }}{% elif not loop.last %}mid{% else %}{% generation %}{{ m.text }}{% endgeneration %}{% endif %};{% endfor %}")
     assert t.render([{"role": "user", "text": " hi "}, {"role": "b", "text": "t"}, {"role": "b", "text": "t2"}]) == ("x2U:hi;mid;t2;", [(11, 13)])
     assert Template("a{{ 'b' | upper }}{% if 1 == 1 %}c{% endif %}{# no #}").tree[0].args == ("aBc",)
+    assert Template("{{ '}}' ~ \"%}\" }}{% if x == '%}' %}a{% endif %}").render([], x="%}")[0] == "}}%}a"
+    for bad in ("{{ '%999999999d' % 1 }}", "{{ x % 2 }}"):
+        with pytest.raises(TemplateError):
+            Template(bad).render([], x="%9999d")
     for bad in ("{% if x %}", "{% endif %}", "{{ x( }}", "{{ x.y | nope }}", "{% while x %}", "{{ }}", "{{ 'a }}"):
         with pytest.raises(TemplateError):
             Template(bad)
@@ -440,6 +487,20 @@ def test_super_minhash_estimates():
         assert abs(np.mean(est) - common / (2 * n - common)) < 0.02
 
 
+def test_no_link_between_short_texts_is_lost(spark):
+    """Sets of 4 to 40 shingles at or above 80 %, with the production signature."""
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(8))
+    texts = []
+    for size in range(4, 41):
+        for share in (80, 83, 86, 90):
+            for _ in range(3):
+                base = [word() for _ in range(size + 3)]  # `size` shingles of four words
+                texts += [" ".join(base), " ".join(base[: -(-share * size // 100) + 3])]
+    got = sorted(tuple(r) for r in neardup.near_duplicates(docs(spark, *texts), n=4).collect())
+    assert got == neardup.brute_force(list(enumerate(texts)), 4) and sum(not r[3] for r in got) == len(texts) // 2
+
+
 @pytest.mark.parametrize("small, large", [(12, 15), (16, 20), (16, 18), (24, 30), (9, 10)])
 def test_short_texts_share_bands(small, large):
     rng = np.random.default_rng(1)

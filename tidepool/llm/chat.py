@@ -97,7 +97,8 @@ def read_turns(formatted: str) -> list[tuple[str, str]]:
 def chat_digests(parts: DataFrame, conv_col: str = "conv_id") -> DataFrame:
     """Read CHAT's parts back: conversation, n_turns, turns_sha256, loss_chars, loss_sha256,
     formatted_chars. Each task reads its conversations part by part and keeps the hashes' state only: a
-    digest of a conversation is a chain, but needs no more than one part at a time."""
+    digest of a conversation is a chain, but needs no more than one part at a time. A null conversation is
+    one like others; parts that are not what CHAT renders are an error; no parts give no rows."""
     key_type = dict(parts.dtypes)[conv_col]
     n = int(parts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     own = parts.withColumnRenamed(conv_col, "conv").repartition(n, "conv").sortWithinPartitions(F.col("conv").asc_nulls_first(), "part")

@@ -2,12 +2,8 @@
 
 from __future__ import annotations
 
-import atexit
 import ctypes
 import gc
-import shutil
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -15,6 +11,12 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType, _parse_datatype_string
+
+from tidepool.functions.kernels import map_arrow
+from tidepool.tables import drop_stored, new_path, stored
+
+__all__ = ["drop_stored", "new_path", "stored"]  # tables between steps
 
 #: Bytes of text that one step of a Python kernel works on at a time.
 SLICE_BYTES = 4 << 20
@@ -59,39 +61,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def work_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or, where it is unset as in
-    tests, a temporary one of our own."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = tempfile.mkdtemp(prefix="tidepool-")
-        atexit.register(shutil.rmtree, found, True)
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def new_path(spark: SparkSession, label: str) -> str:
-    return f"{work_dir(spark)}/tidepool/{label}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """Cut lineage with a table in the shared folder: lost executors cost no recomputation of what lies before."""
-    path = new_path(df.sparkSession, label)
-    df.write.option("parquet.block.size", 32 << 20).parquet(path)  # small row groups: writers hold one
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def drop_stored(*frames: DataFrame) -> None:
-    """Delete tables that `stored` wrote and that nothing reads any more."""
-    for df in frames:
-        spark = df.sparkSession
-        paths = {f.rsplit("/", 1)[0] for f in df.inputFiles()}
-        for p in paths:
-            if "/tidepool/" in p:
-                path = spark._jvm.org.apache.hadoop.fs.Path(p)
-                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def remainder(id_col: str, m: int) -> Column:
     """crc32 of the id as text, mod m. A null id counts as remainder 0."""
     return F.coalesce(F.pmod(F.crc32(F.col(f"`{id_col}`").cast("string").cast("binary")), F.lit(m)), F.lit(0))
@@ -173,7 +142,10 @@ def annotate(df: DataFrame, text_col: str, schema: str, kernel: Callable[[pa.Rec
         release()
 
     typed = ", ".join(f"{x.split()[0]}: {x.split()[1]}" for x in schema.split(", "))
-    from pyspark.sql.types import StructField, StructType, _parse_datatype_string
-
     out = StructType([*df.schema.fields, StructField(name, _parse_datatype_string(f"struct<{typed}>"))])
-    return df.mapInArrow(run, out), name
+    return map_arrow(df, run, out), name
+
+
+def own_columns(df: DataFrame) -> list[str]:
+    """The columns' names, quoted: a dot in a name isn't a field's."""
+    return [f"`{c.replace('`', '``')}`" for c in df.columns]

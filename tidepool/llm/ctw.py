@@ -227,7 +227,8 @@ def _model(uri: str, parts: int) -> Model:
 
 def train(docs: DataFrame, text_col: str, train_col: str, depth: int, parts: int) -> str:
     """Counts of all runs in rows whose train_col is true; runs of the others are there with count 0, so
-    that their probability is made too. Returns the model's URI."""
+    that their probability is made too. A null text is empty, a null in train_col is false, repeated rows
+    count each, and an empty table makes a model without parts. Returns the model's URI."""
     spark = docs.sparkSession
     uri = new_path(spark, "ctw")
     narrow = docs.select(F.col(f"`{text_col}`").alias("text"), F.col(f"`{train_col}`").alias("train"))

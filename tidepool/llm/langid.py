@@ -85,7 +85,9 @@ class Profiles:
 
 def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", length: int = LENGTH, flush: int = 2_000_000) -> Profiles:
     """Profiles of all rows with a text and a language. n-grams are counted in each task (at most `flush`
-    at a time), the counts summed by Spark, and each language's first `length` taken."""
+    at a time), the counts summed by Spark, and each language's first `length` taken, of equally frequent
+    ones by code. Rows with a null text or language and texts without letters add nothing; repeated rows
+    count each; without any row there are no profiles, and every text is `und`."""
     narrow = docs.select(F.col(f"`{lang_col}`").cast("string").alias("lang"), F.col(f"`{text_col}`").cast("string").alias("text")).dropna()
 
     def rows(found: dict[str, tuple[np.ndarray, np.ndarray]]):
@@ -120,7 +122,8 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", length:
 
 def identify(docs: DataFrame, profiles: Profiles, text_col: str = "text") -> tuple[DataFrame, str]:
     """docs with one struct column (lang_pred, score), whose name comes back. A text that is null, empty or
-    without letters is `und` with score 0; nothing but the text is read, rows are judged one by one."""
+    without letters is `und` with score 0; of equally near languages it is the first by name, with score 0.5;
+    nothing but the text is read, rows are judged one by one, and an empty table stays one."""
 
     def kernel(part: pa.RecordBatch) -> dict:
         got = [profiles.predict(t) for t in strings(part, "text")]

@@ -189,7 +189,9 @@ def query_blocks(items: DataFrame, id_col: str, text_col: str, n: int, block_byt
 
 
 def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", segment_bytes: int = SEGMENT_BYTES) -> DataFrame:
-    """Write the postings of every word of every whole text; a row for each segment."""
+    """Write the postings of every word of every whole text; a row for each segment. A null or empty text
+    has no words, but its key is kept; rows that share a key, null ones too, each stand for themselves; an
+    empty table makes an index without rows; other columns are ignored."""
     bounded_batches(docs.sparkSession)
     key_type = dict(docs.dtypes)[id_col]
     narrow = docs.select(F.col(f"`{id_col}`").alias("key"), F.col(f"`{text_col}`").cast("string").alias("text"))
@@ -270,7 +272,8 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
 
 def near_matches(index: DataFrame, terms: str, within: int) -> DataFrame:
     """Proximity: documents in which some run of at most `within` words holds all words of `terms`, with
-    the number of words at which such a run begins."""
+    the number of words at which such a run begins. No words find nothing, a repeated word counts once, and
+    documents that hold no such run, as those without words, give no row."""
     wanted = words(terms.encode())
     key_type = index.schema["keys"].dataType.elementType.simpleString()
 

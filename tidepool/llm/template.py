@@ -53,7 +53,16 @@ class Node:
 
 
 _EXPR = re.compile(r"""\s*(?:(?P<num>\d+)|(?P<str>'(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*")|(?P<name>[A-Za-z_]\w*)|(?P<op>==|!=|<=|>=|[-+~%<>|.()\[\]]))""")
-_BINARY = {"+": operator.add, "-": operator.sub, "%": operator.mod, "~": lambda a, b: f"{a}{b}", "==": operator.eq, "!=": operator.ne, "<": operator.lt, ">": operator.gt, "<=": operator.le, ">=": operator.ge, "in": lambda a, b: a in b}
+
+
+def _remainder(a, b):
+    """Of numbers only: on a string `%` would format, to any width."""
+    if not (isinstance(a, int) and isinstance(b, int)):
+        raise TemplateError("% is for numbers")
+    return a % b
+
+
+_BINARY = {"+": operator.add, "-": operator.sub, "%": _remainder, "~": lambda a, b: f"{a}{b}", "==": operator.eq, "!=": operator.ne, "<": operator.lt, ">": operator.gt, "<=": operator.le, ">=": operator.ge, "in": lambda a, b: a in b}
 _LEVELS = (("==", "!=", "<", ">", "<=", ">=", "in"), ("+", "-", "~"), ("%",))
 _CONSTANTS = {"true": True, "false": False, "none": None}
 _ESCAPES = {"n": "\n", "t": "\t"}
@@ -154,11 +163,15 @@ class Expression:
                 return out
 
 
-_TAG = re.compile(r"(\{\{-?.*?-?\}\}|\{%-?.*?-?%\}|\{#.*?#\})", re.S)
+#: A tag ends at the first `}}` or `%}` that doesn't stand in a string.
+_INSIDE = r"""(?:'(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*"|[^'"])*?"""
+_TAG = re.compile(rf"(\{{\{{-?{_INSIDE}-?\}}\}}|\{{%-?{_INSIDE}-?%\}}|\{{#.*?#\}})", re.S)
 
 
 def parse(source: str) -> tuple[Node, ...]:
     pieces = _TAG.split(source)
+    if any(x in text for text in pieces[::2] for x in ("{{", "{%", "{#")):
+        raise TemplateError("a tag isn't closed")
     tokens: list[tuple[str, str]] = []
     for i, piece in enumerate(pieces):
         if i % 2 == 0:
