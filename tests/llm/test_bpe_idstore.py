@@ -112,6 +112,21 @@ def test_perfect_hash():
     assert not idstore.BucketIndex.loads(empty.dumps()).find(h[:3], h[:3])[0].any()
 
 
+@pytest.mark.parametrize("n", [50, 5_000, 200_000])
+def test_a_lookup_reads_few_words(tmp_path, n):
+    """The head of the file once, then some words for each key, however many keys there are."""
+    h = np.random.default_rng(1).integers(0, 2**63, (n + 100, 2)).astype(np.uint64)
+    hi, lo = h[:n, 0], h[:n, 1]
+    (tmp_path / "index").write_bytes(idstore.BucketIndex.build(hi, lo, np.arange(n) % 7, np.arange(n), np.ones(n, int)).dumps())
+    f = idstore.BucketFile(idstore.pafs.LocalFileSystem(), str(tmp_path / "index"))
+    head, at = f.read, np.linspace(0, n - 1, 50).astype(int)
+    assert head <= 40 + 8 * idstore.LEVELS
+    for i in at:
+        assert f.find(int(hi[i]), int(lo[i])) == (i % 7, i, 1)
+    assert (f.read - head) / len(at) < 24 + 16 * 4
+    assert all(f.find(int(a), int(b)) is None for a, b in h[n:])
+
+
 def test_store(spark):
     rows = [(k, f"word{k} two " * (k % 5)) for k in range(40)] + [(7, "again"), (None, "no key"), (50, None)]
     df = spark.createDataFrame([(k, t, "x") for k, t in rows], "doc_id long, text string, shard string")
@@ -122,10 +137,14 @@ def test_store(spark):
     with pytest.raises(KeyError):
         store[999]
     assert store.manifest["ids"] == sum(len(ids(t)) for _, t in rows) and store.manifest["keys"] == 42
-    got = {r["doc_id"]: r for r in idstore.read_ids(spark, uri, df.select("doc_id").distinct(), ids=True).collect()}
+    every = idstore.read_ids(spark, uri, df.select("doc_id").distinct(), ids=True).collect()
+    assert len(every) == 43 and sorted(r["ids"] for r in every if r["doc_id"] == 7) == sorted([ids(rows[7][1]), ids("again")])
+    starts = sorted((r["start"], r["n_tokens"]) for r in every)
+    assert starts[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(starts, starts[1:]))
+    got = {r["doc_id"]: r for r in every if r["doc_id"] != 7 or r["ids"] == store[7].tolist()}
     assert len(got) == 42 and got[None]["start"] == 0
     at = len(ids("no key"))
-    for k in range(8):
+    for k in range(7):
         assert got[k]["start"] == at and got[k]["ids"][-1] == 2
         at += len(ids(rows[k][1]))
     assert got[3]["ids_crc32"] == zlib.crc32(np.array(ids(rows[3][1]), "<u4").tobytes())

@@ -27,7 +27,7 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_idstore(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     uri = write_ids(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
-    return read_ids(spark, uri, docs)
+    return read_ids(spark, uri, docs.select("doc_id").distinct())  # all documents of each id
 
 
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,10 +3,12 @@
 Layout of a store (a folder in the file system of its URI):
   shard-NNNNNN.ids   raw little-endian ids (16 or 32 bits wide), documents in ascending key order
   index-NNNNN.mph    index of one bucket of keys: minimal perfect hash, then for each of its slots the
-                     stored fingerprint, shard, offset in ids and length
+                     stored fingerprint, shard, offset in ids and length, then the further documents of
+                     repeated keys
   manifest.json      width, numbers of shards and buckets, and the ids before each shard
-A key's 128-bit hash gives its bucket, its slot and its fingerprint, so a lookup reads a constant number
-of words whatever the number of documents.
+A key's 128-bit hash gives its bucket, its slot and its fingerprint. Bit arrays are stored with the rank of
+each of their words beside it, so a lookup reads the file's head, one word at each level that it tries (two
+on average) and one record, whatever the number of documents.
 """
 
 from __future__ import annotations
@@ -30,7 +32,9 @@ from tokenizers import Tokenizer
 from tidepool.llm.bpe import byte_alphabet
 from tidepool.llm.common import CACHES, new_path, slices, stored, strings, using
 
-GAMMA, LEVELS, MAGIC = 2.0, 40, b"TPMPH001"
+GAMMA, LEVELS, MAGIC = 2.0, 40, b"TPMPH002"
+#: Documents that a bucket of the index is made for; a task holds one bucket.
+BUCKET_KEYS = 250_000
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
 
@@ -93,16 +97,24 @@ class PerfectHash:
         return out
 
     def dump(self, to) -> None:
+        """Numbers of levels and of the rest, sizes of the levels; for each level its words of 64 bits, each
+        after the number of keys before it; the rest."""
         to.write(np.array([len(self.bits), len(self.rest), *map(len, self.bits)], "<i8").tobytes())
-        for b in self.bits:
-            to.write(np.packbits(b).tobytes())
+        for b, before in zip(self.bits, self.before):
+            words = np.zeros((-(-len(b) // 64), 2), "<u8")
+            words[:, 0] = before[::64]
+            words[:, 1] = np.packbits(np.pad(b, (0, -len(b) % 64)), bitorder="little").view("<u8")
+            to.write(words.tobytes())
         to.write(self.rest.astype("<u8").tobytes())
 
     @classmethod
     def load(cls, data: io.BytesIO) -> PerfectHash:
         n, rest = np.frombuffer(data.read(16), "<i8")
         sizes = np.frombuffer(data.read(8 * int(n)), "<i8")
-        bits = [np.unpackbits(np.frombuffer(data.read(-(-int(s) // 8)), np.uint8))[: int(s)].astype(bool) for s in sizes]
+        bits = []
+        for s in sizes.tolist():
+            words = np.frombuffer(data.read(16 * -(-s // 64)), "<u8").reshape(-1, 2)
+            bits.append(np.unpackbits(np.ascontiguousarray(words[:, 1]).view(np.uint8), bitorder="little")[:s].astype(bool))
         return cls(bits, np.frombuffer(data.read(8 * int(rest)), "<u8"))
 
 
@@ -110,24 +122,28 @@ class BucketIndex:
     """One index file: slots of the perfect hash hold (fingerprint, shard, offset, length)."""
 
     RECORD = np.dtype([("print", "<u4"), ("shard", "<i4"), ("offset", "<i8"), ("n", "<i8")])
+    #: A further document of the key in a slot.
+    MORE = np.dtype([("slot", "<i8"), ("shard", "<i8"), ("offset", "<i8"), ("n", "<i8")])
 
-    def __init__(self, table: PerfectHash, records: np.ndarray):
-        self.table, self.records = table, records
+    def __init__(self, table: PerfectHash, records: np.ndarray, more: np.ndarray):
+        self.table, self.records, self.more = table, records, more
 
     @classmethod
     def build(cls, hi, lo, shard, offset, n) -> BucketIndex:
-        """Of equal keys the first in (shard, offset) order is indexed."""
+        """A slot has the first of equal keys in (shard, offset) order, and `more` the others."""
         order = np.lexsort((offset, shard, hi))
         hi, lo, shard, offset, n = (np.asarray(x)[order] for x in (hi, lo, shard, offset, n))
         first = np.r_[True, hi[1:] != hi[:-1]] if len(hi) else np.zeros(0, bool)
         if np.any(~first[1:] & (lo[1:] != lo[:-1])):
             raise ValueError("two keys share a 64-bit hash")
-        hi, lo, shard, offset, n = (x[first] for x in (hi, lo, shard, offset, n))
-        table, records = PerfectHash.build(hi), np.zeros(len(hi), cls.RECORD)
+        table, records = PerfectHash.build(hi[first]), np.zeros(int(first.sum()), cls.RECORD)
         at = table.slots(hi)
         for name, x in (("print", (lo & np.uint64(0xFFFFFFFF)).astype("<u4")), ("shard", shard), ("offset", offset), ("n", n)):
-            records[name][at] = x
-        return cls(table, records)
+            records[name][at[first]] = x[first]
+        more = np.zeros(int((~first).sum()), cls.MORE)
+        for name, x in (("slot", at), ("shard", shard), ("offset", offset), ("n", n)):
+            more[name] = x[~first]
+        return cls(table, records, more[np.argsort(more["slot"], kind="stable")])
 
     def find(self, hi: np.ndarray, lo: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(found, records); a fingerprint that differs means the key isn't there."""
@@ -137,11 +153,20 @@ class BucketIndex:
         got = self.records[np.maximum(at, 0)]
         return (at >= 0) & (got["print"] == (lo & np.uint64(0xFFFFFFFF)).astype("<u4")), got
 
+    def further(self, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place in hi, further documents) of keys that are there."""
+        at = self.table.slots(hi)
+        lo, up = (np.searchsorted(self.more["slot"], at, side=s) for s in ("left", "right"))
+        n = up - lo
+        return np.repeat(np.arange(len(hi)), n), self.more[np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
+
     def dumps(self) -> bytes:
         to = io.BytesIO()
         to.write(MAGIC)
+        to.write(np.array([len(self.records), len(self.more)], "<i8").tobytes())
         self.table.dump(to)
         to.write(self.records.tobytes())
+        to.write(self.more.tobytes())
         return to.getvalue()
 
     @classmethod
@@ -149,8 +174,46 @@ class BucketIndex:
         if data[:8] != MAGIC:
             raise ValueError("not an index file")
         stream = io.BytesIO(data[8:])
+        n, more = np.frombuffer(stream.read(16), "<i8")
         table = PerfectHash.load(stream)
-        return cls(table, np.frombuffer(stream.read(), cls.RECORD))
+        return cls(table, np.frombuffer(stream.read(int(n) * cls.RECORD.itemsize), cls.RECORD), np.frombuffer(stream.read(int(more) * cls.MORE.itemsize), cls.MORE))
+
+
+class BucketFile:
+    """One index file that stays where it is: find() reads the words that a key needs. `read` counts bytes."""
+
+    def __init__(self, fs: pafs.FileSystem, path: str):
+        self.file, self.read = fs.open_input_file(path), 0
+        head = self._at(0, 40 + 8 * LEVELS)
+        if head[:8] != MAGIC:
+            raise ValueError("not an index file")
+        self.keys, _, levels, self.rest = (int(x) for x in np.frombuffer(head, "<i8", 4, 8))
+        self.sizes = np.frombuffer(head, "<i8", levels, 40).tolist()
+        self.starts = np.cumsum([40 + 8 * levels, *(16 * -(-s // 64) for s in self.sizes)]).tolist()
+
+    def _at(self, offset: int, size: int) -> bytes:
+        got = self.file.read_at(size, offset)
+        self.read += len(got)
+        return got
+
+    def find(self, hi: int, lo: int) -> tuple[int, int, int] | None:
+        """(shard, offset, length) of the first document with the key."""
+        slot, one = -1, np.array([hi], np.uint64)
+        for level, (size, start) in enumerate(zip(self.sizes, self.starts)):
+            bit = int(_mixed(one, level)[0] % np.uint64(size))
+            before, word = (int(x) for x in np.frombuffer(self._at(start + 16 * (bit // 64), 16), "<u8"))
+            if word >> bit % 64 & 1:
+                slot = before + (word & (1 << bit % 64) - 1).bit_count()
+                break
+        else:
+            rest = np.frombuffer(self._at(self.starts[-1], 8 * self.rest), "<u8")  # none, but for some 2^-40 of the keys
+            i = int(np.searchsorted(rest, one[0])) if len(rest) else 0
+            if i < len(rest) and rest[i] == one[0]:
+                slot = self.keys - self.rest + i
+        if slot < 0:
+            return None
+        r = np.frombuffer(self._at(self.starts[-1] + 8 * self.rest + BucketIndex.RECORD.itemsize * slot, BucketIndex.RECORD.itemsize), BucketIndex.RECORD)[0]
+        return (int(r["shard"]), int(r["offset"]), int(r["n"])) if int(r["print"]) == lo & 0xFFFFFFFF else None
 
 
 def _open(uri: str) -> tuple[pafs.FileSystem, str]:
@@ -271,7 +334,7 @@ def write_ids(df: DataFrame, vocabulary: str, uri: str | None = None, id_col: st
 
     Rows are dealt by ranges of id_col (equal ids by their text's hash, so that one id with very many rows
     is still split) and sorted; a null id comes first. A null text is empty and has the end id only.
-    Repeated ids are all written; the index finds the first. An empty table makes a store without shards.
+    Repeated ids are all written, and the index finds them all. An empty table makes a store without shards.
     Other columns are ignored.
     """
     spark = df.sparkSession
@@ -282,7 +345,7 @@ def write_ids(df: DataFrame, vocabulary: str, uri: str | None = None, id_col: st
         raise ValueError("the vocabulary is over 64 MB")
     dtype = "<u2" if max(Tokenizer.from_str(data.decode()).get_vocab_size() - 1, end_id) < 1 << 16 else "<u4"
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    shards, buckets = shards or parts, buckets or max(1, parts // 2)
+    shards = shards or parts
     shared = spark.sparkContext.broadcast(data)
     key_type = dict(df.dtypes)[id_col]
     rows = df.select(F.col(f"`{id_col}`").alias("key"), F.col(f"`{text_col}`").cast("string").alias("text"))
@@ -300,9 +363,9 @@ def write_ids(df: DataFrame, vocabulary: str, uri: str | None = None, id_col: st
                 for part in slices(batch, "text"):
                     packed = encoder.encode(strings(part, "text"))
                     n = [len(p) // encoder.size for p in packed]
-                    hashes = [key_hash(k) for k in part.column("key").to_pylist()]
+                    hashes = np.array([key_hash(k) for k in part.column("key").to_pylist()], np.uint64)
                     ends = np.cumsum([at, *n])
-                    found.append(([x for x, _ in hashes], [y for _, y in hashes], ends[:-1], n))
+                    found.append((hashes[:, 0], hashes[:, 1], ends[:-1], np.array(n, np.int64)))
                     at = int(ends[-1])
                     yield b"".join(packed)
 
@@ -312,12 +375,13 @@ def write_ids(df: DataFrame, vocabulary: str, uri: str | None = None, id_col: st
             return
         _put(uri, f"shard-{shard:06d}.ids", (x for y in ((first,), stream) for x in y))
         for hi, lo, offset, n in found:
-            hi, lo = np.array(hi, np.uint64), np.array(lo, np.uint64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(hi), shard, np.int32)), pa.array(_bucket(lo, buckets)), pa.array(hi.view(np.int64)), pa.array(lo.view(np.int64)), pa.array(offset), pa.array(n, pa.int64())], ["shard", "bucket", "hi", "lo", "offset", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(hi), shard, np.int32)), *(pa.array(np.ascontiguousarray(x).view(np.int64)) for x in (hi, lo)), pa.array(offset), pa.array(n)], ["shard", "hi", "lo", "offset", "n"])
 
-    entries = stored(rows.mapInArrow(shard_of, "shard int, bucket int, hi long, lo long, offset long, n long"), "entries")
+    entries = stored(rows.mapInArrow(shard_of, "shard int, hi long, lo long, offset long, n long"), "entries")
     # One row for each shard, a file of ids: the driver keeps the manifest only.
-    totals = {r["shard"]: r["ids"] for r in entries.groupBy("shard").agg(F.sum("n").alias("ids")).collect()}
+    sizes = entries.groupBy("shard").agg(F.sum("n").alias("ids"), F.count("*").alias("documents")).collect()
+    totals = {r["shard"]: r["ids"] for r in sizes}
+    buckets = buckets or max(1, -(-sum(r["documents"] for r in sizes) // BUCKET_KEYS))
 
     def index_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(list(batches), None) if (batches := [b for b in batches if b.num_rows]) else None
@@ -328,7 +392,9 @@ def write_ids(df: DataFrame, vocabulary: str, uri: str | None = None, id_col: st
             _put(uri, f"index-{b:05d}.mph", [index.dumps()])
             yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([len(index.records)], pa.int64())], ["bucket", "keys"])
 
-    made = entries.repartition(buckets, "bucket").mapInArrow(index_of, "bucket int, keys long")
+    # The bucket is the upper half of `lo` without its sign, as _bucket has it.
+    bucket = F.pmod(F.shiftrightunsigned("lo", 32), F.lit(buckets)).cast("int").alias("bucket")
+    made = entries.select("*", bucket).repartition(buckets, "bucket").mapInArrow(index_of, "bucket int, keys long")
     keys = sum(r["keys"] for r in made.collect())
     starts, at = {}, 0
     for s in sorted(totals):
@@ -350,6 +416,7 @@ class Store:
         self.dtype = np.dtype(self.manifest["width"])
         self.starts = {int(k): v for k, v in self.manifest["shards"].items()}
         self.indexes: dict[int, BucketIndex | None] = {}
+        self.files: dict[int, BucketFile | None] = {}
 
     def index(self, bucket: int) -> BucketIndex | None:
         if bucket not in self.indexes:
@@ -359,19 +426,33 @@ class Store:
                 self.indexes[bucket] = None
         return self.indexes[bucket]
 
-    def find(self, keys: list) -> list[tuple[int, int, int] | None]:
-        """(shard, offset, length) of each key, None where it isn't stored."""
+    def find(self, keys: list) -> list[list[tuple[int, int, int]]]:
+        """(shard, offset, length) of each key's documents, with whole buckets in memory: for many keys."""
         pairs = np.array([key_hash(k) for k in keys], np.uint64).reshape(-1, 2)
-        hi, lo, out = pairs[:, 0], pairs[:, 1], [None] * len(keys)
+        hi, lo, out = pairs[:, 0], pairs[:, 1], [[] for _ in keys]
         buckets = _bucket(lo, self.manifest["buckets"])
         for b in np.unique(buckets):
             at = np.flatnonzero(buckets == b)
             if (index := self.index(int(b))) is not None:
                 ok, got = index.find(hi[at], lo[at])
                 for i, r in zip(at[ok], got[ok]):
-                    out[i] = (int(r["shard"]), int(r["offset"]), int(r["n"]))
+                    out[i].append((int(r["shard"]), int(r["offset"]), int(r["n"])))
+                for i, r in zip(*index.further(hi[at[ok]])):
+                    out[at[ok][i]].append((int(r["shard"]), int(r["offset"]), int(r["n"])))
         return out
 
+    def locate(self, key) -> tuple[int, int, int] | None:
+        """(shard, offset, length) of the first document with the key, by reading its words of the index."""
+        hi, lo = key_hash(key)
+        b = int(_bucket(np.array([lo], np.uint64), self.manifest["buckets"])[0])
+        if b not in self.files:
+            fs, folder = _open(self.uri)
+            try:
+                self.files[b] = BucketFile(fs, f"{folder}/index-{b:05d}.mph")
+            except FileNotFoundError:
+                self.files[b] = None
+        return self.files[b].find(hi, lo) if self.files[b] else None
+
     def read(self, spans: Iterable[tuple[int, int, int]]) -> Iterator[np.ndarray]:
         """Ids of (shard, offset, length) spans; the file of a shard stays open for spans in a row."""
         now, f, (fs, folder) = None, None, _open(self.uri)
@@ -385,7 +466,7 @@ class Store:
             f.close()
 
     def __getitem__(self, key) -> np.ndarray:
-        found = self.find([key])[0]
+        found = self.locate(key)
         if found is None:
             raise KeyError(key)
         return next(self.read([found])).astype(np.int64)
@@ -393,8 +474,9 @@ class Store:
 
 def read_ids(spark: SparkSession, uri: str, keys: DataFrame, id_col: str = "doc_id", ids: bool = False) -> DataFrame:
     """Look every row of `keys` up in a store: id_col, start (ids of all documents before it), n_tokens,
-    ids_crc32 (of the ids as little-endian 32-bit) and, with `ids`, the ids. Keys that aren't stored get
-    no row; a repeated key gets its row again."""
+    ids_crc32 (of the ids as little-endian 32-bit) and, with `ids`, the ids, a row for each document with the
+    key. Keys that aren't stored, and an empty table, get no row; a repeated key gets its rows again; a null
+    key is one like others; other columns are ignored."""
     key_type = dict(keys.dtypes)[id_col]
     manifest = json.loads(_get(uri, "manifest.json"))
     buckets, shards = manifest["buckets"], max(1, len(manifest["shards"]))
@@ -408,9 +490,8 @@ def read_ids(spark: SparkSession, uri: str, keys: DataFrame, id_col: str = "doc_
         store = Store(uri)
         for batch in batches:
             spans = store.find(batch.column("key").to_pylist())
-            ok = [s is not None for s in spans]
-            kept = batch.column("key").filter(pa.array(ok, pa.bool_()))
-            got = np.array([s for s in spans if s], np.int64).reshape(-1, 3)
+            kept = batch.column("key").take(pa.array(np.repeat(np.arange(len(spans)), [len(s) for s in spans])))
+            got = np.array([x for s in spans for x in s], np.int64).reshape(-1, 3)
             yield pa.RecordBatch.from_arrays([kept, *(pa.array(got[:, i]) for i in range(3))], ["key", "shard", "offset", "n"])
 
     def payload(batches):
