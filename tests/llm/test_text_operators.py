@@ -175,18 +175,21 @@ def test_toxicity_held_out(spark):
 
 
 def slow_scan(text, k=5, percent=80):
+    """Every window of every template, without signatures."""
+    scanner = licenses.Scanner(licenses.TEMPLATES)
     w = phrases.words((text or "").encode())
     runs = [tuple(w[i : i + k]) for i in range(len(w) - k + 1)]
-    found = set()
-    for name, own in licenses.TEMPLATES.items():
-        for t in own:
+    found = []
+    for g, own in licenses._grouped(scanner):
+        for _, name, t, _ in own:
             tw = phrases.words(t.encode())
             shingles = {tuple(tw[i : i + k]) for i in range(len(tw) - k + 1)}
-            n, step = len(shingles), max(1, len(shingles) // 4)
-            for s in range(0, len(runs), step):
-                if 100 * len(shingles & set(runs[s : s + n + step])) >= percent * n:
-                    found.add(name)
-    return sorted(found)
+            for s in range(0, len(runs), g.step):
+                at = [i for i in range(s, min(s + g.size, len(runs))) if runs[i] in shingles]
+                common = len({runs[i] for i in at})
+                if 100 * common >= percent * len(shingles):
+                    found.append((name, common, {*at}))
+    return sorted({a[0] for a in found if not any(b[0] != a[0] and b[1] > a[1] and 2 * len(a[2] & b[2]) >= len(a[2]) for b in found)})
 
 
 def test_licenses(spark):
@@ -204,12 +207,23 @@ def test_licenses(spark):
     assert licenses.scan_licenses(odd(spark)).count() == 6 and licenses.scan_licenses(odd(spark).where("false")).count() == 0
 
 
+def test_licenses_that_share_sentences(spark):
+    whole = {name: max(own, key=len) for name, own in licenses.TEMPLATES.items()}
+    names = sorted(whole)
+    got = {r["doc_id"]: r["licenses"] for r in licenses.scan_licenses(docs(spark, *(f"some words {whole[n]} and more" for n in names))).collect()}
+    assert got == {i: [n] for i, n in enumerate(names)}
+    both = licenses.scan_licenses(docs(spark, f"{whole['MIT']} {whole['ISC']} Released under the MIT License. {whole['Zlib']}")).first()
+    assert both["licenses"] == ["ISC", "MIT", "Zlib"] and both["best"] == 1.0
+
+
 def test_license_bands():
     s = licenses.Scanner(licenses.TEMPLATES)
-    for g in s.groups:
-        common = -(-80 * g.n // 100)
-        j = common / (2 * g.n + g.step - common)
-        assert (1 - j) ** s.bands <= 1e-7
+    assert len(licenses.TEMPLATES) >= 20 and max(n for n, *_ in s.sized) > 150
+    for g, own in licenses._grouped(s):
+        for n, *_ in own:
+            assert g.size >= n + g.step
+            common = -(-80 * n // 100)
+            assert (1 - common / (n + g.size - common)) ** g.bands <= 1e-7
 
 
 # Quality rules
