@@ -259,7 +259,7 @@ def _texts_with(y: np.ndarray, by_doc: list[np.ndarray], n: int) -> tuple[np.nda
     return one, all_
 
 
-def train(texts: list[bytes], labels: list[int], rounds: int = 10, steps: int = 40, rate: float = 0.08, most_words: int = 20_000, most_grams: int = 60_000, least: int = 2, seed: int = 5) -> Net:
+def train(texts: list[bytes], labels: list[int], rounds: int = 10, steps: int = 40, rate: float = 0.08, most_words: int = 20_000, most_grams: int = 60_000, least: int = 3, seed: int = 5) -> Net:
     """Fit on whole texts by Adagrad. The vocabularies are the words and n-grams of `least` texts or more, the
     commonest first. The first coordinate of every word and n-gram starts at its evidence. Without texts, or
     with one label only, the network says what there is to say whatever the text."""
