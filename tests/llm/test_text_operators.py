@@ -533,6 +533,21 @@ def test_components_of_a_chain(spark):
     assert neardup.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_of_hubs(spark):
+    stars = [(7, i) for i in range(10, 3000)] + [(i, 9000) for i in range(3000, 6000)] + [(2999, 3000)]
+    got = neardup.components(spark.createDataFrame(stars, "a long, b long").repartition(9)).collect()
+    assert sorted((r["node"], r["component"]) for r in got) == [(i, 7) for i in [*range(10, 6000), 9000]]
+
+
+def test_least_of_a_hub_is_dealt_in_shares(spark):
+    rows = spark.createDataFrame([(1, i) for i in range(500, 5000)] + [(2, 9)], "u long, v long")
+    got, least = neardup._with_least(rows)
+    assert sorted(map(tuple, least.collect())) == [(1, 500), (2, 9)]
+    assert sorted(map(tuple, got.collect())) == [(1, i, 500) for i in range(500, 5000)] + [(2, 9, 9)]
+    split = rows.withColumn("share", F.pmod(F.xxhash64("v"), F.lit(neardup.SPLITS))).where("u = 1").groupBy("share").count()
+    assert split.count() == neardup.SPLITS and split.agg(F.max("count")).first()[0] < 4500 / 20
+
+
 def test_near_duplicates_of_an_id_with_two_texts(spark):
     one, two = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
     rows = [(1, one), (2, one), (2, two), (3, two + " end"), (4, one), (5, "c"), (6, "c")]

@@ -24,6 +24,8 @@ _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _GOLD, _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 #: Elements whose permutations are held at a time.
 _CHUNK = 1 << 13
+#: Shares of a hub's links.
+SPLITS = 64
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -146,20 +148,31 @@ def _local_union(batches):
     yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([find(x) for x in nodes], pa.int64())], ["a", "b"])
 
 
+def _with_least(rows: DataFrame, of: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """rows (u, v) with m, the least v of their u in `of` (rows themselves by default), and (u, m) alone. A
+    hub's rows are dealt by u and one of SPLITS shares of v, in the sums as in the join, so that no task
+    has them all; what a hub has in common is one row for each share."""
+    share = F.pmod(F.xxhash64("v"), F.lit(SPLITS)).cast("int").alias("share")
+    split = (rows if of is None else of).select("u", "v", share)
+    least = split.groupBy("u", "share").agg(F.min("v").alias("m")).groupBy("u").agg(F.min("m").alias("m"), F.collect_list("share").alias("shares"))
+    each = least.select("u", "m", F.explode("shares").alias("share"))
+    return rows.select("u", "v", share).join(each, ["u", "share"]).select("u", "v", "m"), least.select("u", "m")
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, component) of every node in links (a, b), both long: the smallest node reachable. Nodes that
     are their own component may be left out. Rounds of large and small stars, each stored, until nothing
-    changes; a star's centre is a minimum, so its rows are aggregated before they are shuffled."""
+    changes; a hub's rows are dealt in shares."""
     edges = stored(links.select("a", "b").where("a <> b").mapInArrow(_local_union, "a long, b long").distinct(), "edges")
     before = None
     while True:
         both = edges.union(edges.select(F.col("b"), F.col("a"))).toDF("u", "v")
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = stored(both.where("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).where("a <> b").distinct(), "edges")
+        larger, _ = _with_least(both.where("v > u"), both)
+        large = stored(larger.select(F.col("v").alias("a"), F.least("m", "u").alias("b")).where("a <> b").distinct(), "edges")
         # Small star: each node's smaller neighbours and itself go to the smallest of them.
         down = large.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-        lowest = down.groupBy("u").agg(F.min("v").alias("m"))
-        small = down.join(lowest, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).union(lowest.select("u", "m")).where("a <> b").distinct()
+        smaller, lowest = _with_least(down)
+        small = smaller.select(F.col("v").alias("a"), F.col("m").alias("b")).union(lowest).where("a <> b").distinct()
         after = stored(small, "edges")
         now = after.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         drop_stored(edges, large)
