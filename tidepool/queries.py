@@ -140,7 +140,9 @@ def lowess_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def binned_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _model(spark, error_fit.fit_binned(error_fit.count_matrix(_adjacent(spark, sf_dir).where("q % 9 in (2, 7)"))))
+    """Every score counts for its bin: 2, 7, 12, ... 37."""
+    binned = _adjacent(spark, sf_dir).withColumn("q", F.expr("least(q - q % 5 + 2, 37)")).groupBy("t", "o", "q").agg(F.sum("n").alias("n"))
+    return _model(spark, error_fit.fit_binned(error_fit.count_matrix(binned)))
 
 
 @query

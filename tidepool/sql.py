@@ -90,7 +90,7 @@ up AS (SELECT t, o, q, CASE WHEN t = o THEN max(p) OVER (PARTITION BY t, o ORDER
 SELECT t, o, q, round(p / sum(p) OVER (PARTITION BY t, q), 6) AS p FROM up"""
 
 
-_BINNED = """tot AS (SELECT q, sum(n) AS n, sum(n) FILTER (WHERE t <> o) AS off FROM adj WHERE q % 9 IN (2, 7) GROUP BY q),
+_BINNED = """tot AS (SELECT q, sum(n) AS n, sum(n) FILTER (WHERE t <> o) AS off FROM adj GROUP BY q),
 bin AS (SELECT q, greatest(least(coalesce(off, 0) / n / 3, 0.25), 1e-7) AS r FROM tot),
 near AS (SELECT x.q, (SELECT max(q) FROM bin b WHERE b.q <= x.q) AS a, (SELECT min(q) FROM bin b WHERE b.q >= x.q) AS b FROM range(41) AS x(q)),
 rate AS (SELECT n.q, CASE WHEN a IS NULL THEN y.r WHEN b IS NULL OR a = b THEN x.r ELSE x.r + (n.q - a) / (b - a) * (y.r - x.r) END AS r FROM near n LEFT JOIN bin x ON x.q = a LEFT JOIN bin y ON y.q = b),
@@ -192,7 +192,7 @@ FROM (SELECT sample, cycle, least(q[cycle + 1], 41) AS v FROM (SELECT *, unnest(
   SELECT t, t AS o, q, greatest(sum(n), 0)::BIGINT AS n FROM (SELECT strpos('ACGT', substr(seq, i, 1)) - 1 AS t, least(q[i], 40) AS q, 1 AS n FROM (SELECT seq, q, unnest(range(1, 61)) AS i FROM amp) UNION ALL SELECT o, q, -w FROM mis) GROUP BY t, q
   UNION ALL SELECT t, o, q, w::BIGINT FROM mis)""",
     "lowess_fit": ctes("adj", "grid", more=_lowess("loess")),
-    "binned_fit": ctes("adj", "grid", more=_BINNED),
+    "binned_fit": ctes("adj", "grid", more="few AS (SELECT t, o, least(q - q % 5 + 2, 37) AS q, n FROM adj),\n" + _BINNED.replace("FROM adj", "FROM few")),
     "pacbio_matrix": _matrix("least(greatest(pow(10.0, -q / 10.0), 1e-6), 0.5)"),
     "illumina_default": _matrix("pow(10.0, -q / 10.0)"),
     "plot_errors": "SELECT q::INT AS q, round(pow(10.0, -q / 10.0) / 3, 9) AS rate FROM range(41) AS x(q)",
@@ -272,7 +272,7 @@ _VARIANTS = "SELECT g AS sample, centre AS seq, sum(cnt)::BIGINT AS abundance FR
 #: The fit for scores of few levels, from transition counts tc (t, o, q, n).
 _TRANSITIONS = """tc AS MATERIALIZED (SELECT t, t AS o, q, greatest(sum(n), 0) AS n FROM (SELECT strpos('ACGT', substr(seq, i, 1)) - 1 AS t, least(q[i], 40) AS q, 1 AS n FROM (SELECT seq, q, unnest(range(1, length(seq) + 1)) AS i FROM amp) UNION ALL SELECT o, q, -w FROM mis) GROUP BY t, q
   UNION ALL SELECT t, o, q, w FROM mis)"""
-_LEARNED = _BINNED.replace("FROM adj WHERE q % 9 IN (2, 7)", "FROM tc").replace("\nSELECT t, o, q, round(", ",\nlearned AS MATERIALIZED (SELECT t, o, q, (").replace(", 6) AS p FROM grid", ") AS p FROM grid") + ")"
+_LEARNED = _BINNED.replace("FROM adj", "FROM tc").replace("\nSELECT t, o, q, round(", ",\nlearned AS MATERIALIZED (SELECT t, o, q, (").replace(", 6) AS p FROM grid", ") AS p FROM grid") + ")"
 
 
 def _learning(reads: str) -> str:
