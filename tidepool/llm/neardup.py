@@ -159,11 +159,13 @@ def _with_least(rows: DataFrame, of: DataFrame | None = None) -> tuple[DataFrame
     return rows.select("u", "v", share).join(each, ["u", "share"]).select("u", "v", "m"), least.select("u", "m")
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, joined: bool = False) -> DataFrame:
     """(node, component) of every node in links (a, b), both long: the smallest node reachable. Nodes that
     are their own component may be left out. Rounds of large and small stars, each stored, until nothing
-    changes; a hub's rows are dealt in shares."""
-    edges = stored(links.select("a", "b").where("a <> b").mapInArrow(_local_union, "a long, b long").distinct(), "edges")
+    changes; a hub's rows are dealt in shares. joined: each task's links have been through _local_union, in
+    the worker that made them; a second worker beside it would keep its memory for the stages to come."""
+    links = links.select("a", "b").where("a <> b")
+    edges = stored((links if joined else links.mapInArrow(_local_union, "a long, b long")).distinct(), "edges")
     before = None
     while True:
         both = edges.union(edges.select(F.col("b"), F.col("a"))).toDF("u", "v")
@@ -183,7 +185,8 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def _band_edges(signed: DataFrame, parts: int) -> DataFrame:
-    """(a, b): documents with equal bands, each with the smallest it met. signed: (node, bands)."""
+    """(a, b): documents that equal bands join, each with the smallest that it reaches in its task. signed:
+    (node, bands)."""
 
     def first_of_runs(hashes: np.ndarray, nodes: np.ndarray):
         """Sorted hashes once each with their smallest node, and (node, smallest) of the others."""
@@ -221,7 +224,7 @@ def _band_edges(signed: DataFrame, parts: int) -> DataFrame:
             _, _, edges = first_of_runs(np.concatenate([x for x, _ in own]), np.concatenate([y for _, y in own]))
             yield pa.RecordBatch.from_arrays([pa.array(edges[0]), pa.array(edges[1])], ["a", "b"])
 
-    return signed.select("node", "bands").mapInArrow(send, "part int, kind int, x binary, y binary").repartition(parts, "part").mapInArrow(meet, "a long, b long")
+    return signed.select("node", "bands").mapInArrow(send, "part int, kind int, x binary, y binary").repartition(parts, "part").mapInArrow(lambda batches: _local_union(meet(batches)), "a long, b long")
 
 
 def forest(nodes: np.ndarray, sets: list[np.ndarray], percent: int, columns: int = 4096) -> np.ndarray:
@@ -306,7 +309,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     folds = every.join(several, "node", "left_semi").select(F.col("node").alias("a"), F.col("rep").alias("b"))
 
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    candidates = components(_band_edges(some.join(every, ["node", "words"], "left_anti"), parts))
+    candidates = components(_band_edges(some.join(every, ["node", "words"], "left_anti"), parts), joined=True)
     units = candidates.toDF("node", "unit")
     units = stored(units.union(units.select("unit", "unit").distinct()), "units")
     found = components(stored(_links(docs, units, n, percent, parts), "links").union(folds))
