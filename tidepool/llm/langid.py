@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from tidepool.llm.common import annotate, slices, stored, strings
 
 UNKNOWN, EDGE, LENGTH = "und", np.uint64(1), 300
+#: Bytes of text that a step of counting works on: its n-grams take 24 bytes a character, and as much sorted.
+STEP_BYTES = 1 << 20
 _LETTER: np.ndarray | None = None
 
 
@@ -97,7 +99,7 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", length:
     def run(batches):
         found: dict[str, tuple[np.ndarray, np.ndarray]] = {}
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", STEP_BYTES):
                 by: dict[str, list[str]] = {}
                 for lang, text in zip(part.column("lang").to_pylist(), strings(part, "text")):
                     by.setdefault(lang, []).append(text)
