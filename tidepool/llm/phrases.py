@@ -206,28 +206,41 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return stored(narrow.mapInArrow(run, f"keys array<{key_type}>, starts binary, terms binary, bounds binary, positions binary"), "segments")
 
 
+def _hits(row: dict, queries: Queries) -> tuple[Segment, np.ndarray, set[tuple[int, str]]]:
+    """A row's segment, whether each word of it is hit, and (document, item), with what the row holds of
+    earlier blocks."""
+    segment = Segment.of_row(row)
+    q, start = segment.phrases(queries)
+    hit, pairs = np.zeros(segment.size, bool), set()
+    if len(q):
+        lengths = (queries.terms >= 0).sum(axis=1)[q]
+        cover = np.bincount(start, minlength=segment.size + 1) - np.bincount(start + lengths, minlength=segment.size + 1)
+        hit = np.cumsum(cover)[: segment.size] > 0
+        pairs = {(d, item) for d, w in set(zip(segment.document(start).tolist(), q.tolist())) for item in queries.items[w]}
+    if "hit" in row:
+        hit |= np.unpackbits(np.frombuffer(row["hit"], np.uint8))[: segment.size].astype(bool)
+        pairs |= {(p["d"], p["item"]) for p in row["pairs"]}
+    return segment, hit, pairs
+
+
+def _rows(batches) -> Iterator[tuple[pa.RecordBatch, dict]]:
+    """Segments one by one, each with its columns but the keys."""
+    using(__name__)
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield batch.slice(i, 1), {c: batch.column(c)[i].as_py() for c in batch.schema.names if c != "keys"}
+    release()
+
+
 def _searched(index: DataFrame, queries: Queries) -> DataFrame:
     """The index with what has been found so far: a bit for each word that is hit, and (document, item)."""
     shared = index.sparkSession.sparkContext.broadcast(queries)
-    has = "hit" in index.columns
 
     def run(batches):
-        for batch in batches:
-            for i in range(batch.num_rows):  # one segment at a time
-                row = {c: batch.column(c)[i].as_py() for c in batch.schema.names if c != "keys"}
-                segment = Segment.of_row(row)
-                q, start = segment.phrases(shared.value)
-                lengths = (shared.value.terms >= 0).sum(axis=1)[q] if len(q) else q
-                cover = np.bincount(start, minlength=segment.size + 1) - np.bincount(start + lengths, minlength=segment.size + 1) if len(q) else np.zeros(segment.size + 1, np.int64)
-                hit = np.cumsum(cover)[: segment.size] > 0
-                pairs = {(d, item) for d, w in set(zip(segment.document(start).tolist(), q.tolist())) for item in shared.value.items[w]}
-                if has:
-                    hit |= np.unpackbits(np.frombuffer(row["hit"], np.uint8))[: segment.size].astype(bool)
-                    pairs |= {(p["d"], p["item"]) for p in row["pairs"]}
-                out = [pa.array([np.packbits(hit).tobytes()], pa.binary()), pa.array([[{"d": d, "item": x} for d, x in sorted(pairs)]], pa.list_(pa.struct([("d", pa.int64()), ("item", pa.string())])))]
-                own = batch.slice(i, 1)
-                yield pa.RecordBatch.from_arrays([*(own.column(c) for c in ("keys", "starts", "terms", "bounds", "positions")), *out], ["keys", "starts", "terms", "bounds", "positions", "hit", "pairs"])
-        release()
+        for own, row in _rows(batches):
+            _, hit, pairs = _hits(row, shared.value)
+            out = [pa.array([np.packbits(hit).tobytes()], pa.binary()), pa.array([[{"d": d, "item": x} for d, x in sorted(pairs)]], pa.list_(pa.struct([("d", pa.int64()), ("item", pa.string())])))]
+            yield pa.RecordBatch.from_arrays([*(own.column(c) for c in ("keys", "starts", "terms", "bounds", "positions")), *out], ["keys", "starts", "terms", "bounds", "positions", "hit", "pairs"])
 
     base = [f for f in index.schema.fields if f.name not in ("hit", "pairs")]
     from pyspark.sql.types import StructType, _parse_datatype_string
@@ -245,29 +258,29 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     are searched in blocks of bounded size, each against the whole index.
     """
     found = build_index(docs, id_col, text_col) if index is None else index
-    blocks, now = query_blocks(items, item_col, item_text_col, n), None
-    for block in blocks:
-        if now is not None:  # more than one block: what has been found so far is stored
-            before, found = found, stored(now, "found")
-            drop_stored(before)
-        now = _searched(found, block)
+    last = None
+    for block in query_blocks(items, item_col, item_text_col, n):
+        if last is not None:  # more than one block: what has been found so far is stored
+            before, found = found, stored(_searched(found, last), "found")
+            if before is not index:
+                drop_stored(before)
+        last = block
     key_type = dict(docs.dtypes)[id_col]
+    shared = docs.sparkSession.sparkContext.broadcast(last)
 
     def run(batches):
-        for batch in batches:
-            for i in range(batch.num_rows):
-                keys = batch.column("keys")[i].values
-                starts = np.frombuffer(batch.column("starts")[i].as_py(), "<i8")
-                hit = np.unpackbits(np.frombuffer(batch.column("hit")[i].as_py(), np.uint8))[: int(starts[-1])]
-                sums = np.r_[0, np.cumsum(hit, dtype=np.int64)]
-                n_hit, n_words = sums[starts[1:]] - sums[starts[:-1]], np.diff(starts)
-                own: list[list[str]] = [[] for _ in range(len(keys))]
-                for p in batch.column("pairs")[i].as_py():
-                    own[p["d"]].append(p["item"])
-                own = [sorted(x) for x in own]
-                yield pa.RecordBatch.from_arrays([keys, pa.array(n_words), pa.array(n_hit), pa.array([len(x) for x in own], pa.int64()), pa.array(own, pa.list_(pa.string())), pa.array((n_hit > 0) & (share * n_hit >= n_words))], ["key", "n_words", "n_hit", "n_items", "items", "contaminated"])
-
-    return now.mapInArrow(run, f"key {key_type}, n_words long, n_hit long, n_items long, items array<string>, contaminated boolean").withColumnRenamed("key", id_col)
+        """The last block's search, and the verdicts in the same worker."""
+        for batch, row in _rows(batches):
+            segment, hit, pairs = _hits(row, shared.value)
+            keys = batch.column("keys")[0].values
+            sums = np.r_[0, np.cumsum(hit, dtype=np.int64)]
+            n_hit, n_words = sums[segment.starts[1:]] - sums[segment.starts[:-1]], np.diff(segment.starts)
+            own: list[list[str]] = [[] for _ in range(len(keys))]
+            for d, item in sorted(pairs):
+                own[d].append(item)
+            yield pa.RecordBatch.from_arrays([keys, pa.array(n_words), pa.array(n_hit), pa.array([len(x) for x in own], pa.int64()), pa.array(own, pa.list_(pa.string())), pa.array((n_hit > 0) & (share * n_hit >= n_words))], ["key", "n_words", "n_hit", "n_items", "items", "contaminated"])
+
+    return found.mapInArrow(run, f"key {key_type}, n_words long, n_hit long, n_items long, items array<string>, contaminated boolean").withColumnRenamed("key", id_col)
 
 
 def near_matches(index: DataFrame, terms: str, within: int) -> DataFrame:
